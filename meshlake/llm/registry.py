@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlake.llm import packing, tokens
+from meshlake.llm import minhash, packing, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048, 0)
+
+
+@query
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), 75)
