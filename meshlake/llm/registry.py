@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meshlake.llm import minhash, packing, tokens
+from meshlake.llm import language, minhash, packing, spans, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fold(of: int) -> Column:
+    """crc32 of doc_id as text, modulo ``of``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the folds other than 1 of 3."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(fold(3) != 1))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "match")
+
+
 @query
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with segment-tree BPE and decoded again, as digests."""
@@ -47,3 +62,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), 75)
+
+
+@query
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages that an earlier one has."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "text")
