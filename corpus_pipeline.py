@@ -1,10 +1,70 @@
-"""The cleaning pipeline over ``documents``."""
+"""The cleaning pipeline over ``documents``: language, toxicity, near-duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns the columns of
+``documents``; the last returns the packed pieces. Stages keep whole texts, and rows that they have nothing against.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshlake.llm import language, minhash, packing, spans, toxicity
+from meshlake.llm.scratch import keep
+
+#: A text goes if the language that contains most of its n-grams contains less than this share.
+LEAST_MATCH = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without a letter, or mostly of n-grams that no language has, go."""
+    model = language.train(docs)
+    found = language.predict(docs, model)
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("match") >= LEAST_MATCH)).select(docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.score(docs, toxicity.train(docs, labels)).where("predicted = 0").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id; rows of one doc_id and text count once."""
+    found = minhash.near_duplicates(docs)
+    gone = keep(found.where("NOT kept").select("doc_id").distinct())
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(left.where("doc_id IS NULL"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; those of which nothing is left go."""
+    cleaned = spans.remove_repeats(docs).where("n_removed = 0 OR n_removed < n_sentences")
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cleaned.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All tokens of the remaining documents in sequences of 2048."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("toxicity", toxic),
+    ("minhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", pack),
+]
+#: SQL can't express the trained stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir))
+    return docs
