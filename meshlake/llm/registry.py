@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm import language, minhash, packing, spans, tokens, toxicity
+from meshlake.llm import hmm, language, minhash, packing, spans, tokens, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +67,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, net).select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query
+def op8_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under a model of those in the folds other than 0 of 10."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("learn", F.coalesce(fold(10) != 0, F.lit(False)))
+    found = hmm.score(docs)
+    return found.select("doc_id", F.coalesce(fold(10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
