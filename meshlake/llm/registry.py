@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm import hmm, language, minhash, packing, spans, tokens, toxicity
+from meshlake.llm import hmm, kmeans_tree, language, minhash, packing, spans, tokens, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,13 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query
+def op4_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row with a vec_id divisible by 20."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return kmeans_tree.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
