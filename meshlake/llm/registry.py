@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm import hmm, kmeans_tree, language, minhash, packing, spans, tokens, toxicity
+from meshlake.llm import hmm, hnsw, kmeans_tree, language, minhash, packing, spans, tokens, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,12 @@ def fold(of: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
 
 
+@query
+def op1_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of embeddings of one label with a cosine of 0.93 or more."""
+    return hnsw.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), 0.93)
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the folds other than 1 of 3."""
