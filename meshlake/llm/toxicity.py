@@ -217,8 +217,9 @@ def places(words: Words, begin: np.ndarray, length: np.ndarray, nothing: int) ->
     return np.where(steps < length[:, None], found, nothing)
 
 
-def fit(texts: list[str], labels: np.ndarray, window: int = 64, stride: int = 32, epochs: int = 5, batch: int = 64, least: int = 3, seed: int = 7) -> Network:
-    """Train a network on documents."""
+def fit(texts: list[str], labels: np.ndarray, window: int = 64, stride: int = 32, epochs: int = 5, batch: int = 64, least: int = 3, seed: int = 7, steps: int = 150) -> Network:
+    """Train a network on documents, in more rounds if these would make fewer than ``steps`` steps."""
+    epochs = max(epochs, -(-steps * batch // max(len(labels), 1)))
     words = read_words(as_texts(pa.array(texts, pa.string())))
     labels = np.asarray(labels, np.float32)
     owner = np.repeat(np.arange(len(labels)), np.diff(words.first))
