@@ -37,3 +37,11 @@ def agg01_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("event_type")
         .agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"))
     )
+
+
+def load_all() -> None:
+    """Import the modules that register queries."""
+    from meshlake.plans import domain, relational  # noqa: F401
+
+
+load_all()
