@@ -42,6 +42,7 @@ def agg01_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_all() -> None:
     """Import the modules that register queries."""
     from meshlake.plans import domain, relational  # noqa: F401
+    from meshlake.streaming import queries  # noqa: F401
 
 
 load_all()
