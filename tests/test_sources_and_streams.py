@@ -103,3 +103,29 @@ def test_last_known_keeps_newer_rows(spark, stream_folder, tmp_path):
     known.upsert(late, 1)
     known.upsert(late, 1)
     assert {(r.k, r.v) for r in spark.read.parquet(known.path(1)).collect()} == {(1, 2.0), (2, 1.0), (3, 7.0)}
+
+
+def test_serial_merge_is_a_fold_in_order(spark):
+    import duckdb
+
+    from meshlake.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    rows = duckdb.sql(f"SELECT l_orderkey, l_linenumber, l_partkey % 256, l_suppkey FROM '{folder}/lineitem.parquet' ORDER BY 1, 2, 3, 4").fetchall()
+    want = {}
+    for order, _, serial, supp in rows:
+        held = want.get(order)
+        if held is None or 0 < (serial - held[0]) % 256 < 128:
+            want[order] = (serial, supp)
+    found = {r.l_orderkey: (r.serial, r.supp) for r in catalog.QUERIES["agg07_serial_merge"](spark, folder).collect()}
+    assert found == want
+
+
+def test_addresses(spark):
+    from meshlake.functions import network
+
+    rows = ["::1", "FE80::1:2", "1:2:3:4:5:6:7:8", "1::2::3", "12345::", "g::", None, "::"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "a string").select(network.ipv6_hex("a")).collect()]
+    assert got == ["0" * 31 + "1", "fe80" + "0" * 20 + "00010002", "00010002000300040005000600070008", None, None, None, None, "0" * 32]
+    v4 = [r[0] for r in spark.createDataFrame([("10.0.1.255",), ("1.2.3",), ("1.2.3.256",)], "a string").select(network.ipv4_hex("a")).collect()]
+    assert v4 == ["0a0001ff", None, None]
