@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +27,25 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """GRF-02: node, component: the smallest node that it reaches; nodes without links are their own.
 
     Labels sink to the smallest around a node, then each takes the label of its label, so rounds grow with
-    the logarithm of the longest path on most graphs. checkpoint() cuts the plan after each round.
+    the logarithm of the longest path on most graphs. checkpoint() cuts the plan every few rounds.
     """
     _checkpoint_folder(nodes)
     around = both_ways(pairs).checkpoint()
     labels = nodes.select("node", F.col("node").alias("component")).distinct().checkpoint()
+    round_ = 0
     while True:
-        low = around.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("low"))
-        sunk = labels.join(low, "node", "left").select("node", F.least("component", "low").alias("component"), F.col("component").alias("before"))
-        jump = labels.join(low, "node", "left").select(F.col("node").alias("component"), F.least("component", "low").alias("further"))
-        new = sunk.join(jump, "component", "left").select("node", F.coalesce(F.least("component", "further"), "component").alias("component"), "before").checkpoint()
+        told = around.join(labels.withColumnRenamed("node", "other"), "other").select("node", "component", F.lit(None).cast(labels.schema["component"].dataType).alias("before"))
+        own = labels.select("node", "component", F.col("component").alias("before"))
+        sunk = told.union(own).groupBy("node").agg(F.min("component").alias("component"), F.max("before").alias("before"))
+        jump = sunk.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        new = sunk.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "before").persist()
+        done = new.where("component <> before").isEmpty()
+        round_ += 1
         labels = new.select("node", "component")
-        if new.where("component <> before").isEmpty():
+        if done or round_ % 4 == 0:
+            labels = labels.checkpoint()
+            new.unpersist()
+        if done:
             return labels
 
 
@@ -49,18 +58,21 @@ def _checkpoint_folder(df: DataFrame) -> None:
 
 
 def depths(pairs: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """GRF-03: node, depth, parent of a breadth-first forest: the least parent of the level above; a join for each level."""
+    """GRF-03: node, depth, parent of a breadth-first forest: the least parent of the level above; a join for each level.
+
+    A level's neighbours lie in it or next to it, so new ones need to be told apart from two levels only.
+    """
     _checkpoint_folder(pairs)
     around = both_ways(pairs).checkpoint()
-    found = roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")).distinct().checkpoint()
-    edge = found
-    for depth in range(1, most):
-        step = edge.join(around, "node").select(F.col("other").alias("node"), F.col("node").alias("parent")).join(found.select("node"), "node", "left_anti")
-        edge = step.groupBy("node").agg(F.min("parent").alias("parent")).select("node", F.lit(depth).alias("depth"), "parent").checkpoint()
-        if edge.isEmpty():
+    levels = [roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")).distinct().checkpoint()]
+    while len(levels) < most:
+        near = levels[-1].select("node") if len(levels) < 2 else levels[-1].select("node").union(levels[-2].select("node"))
+        step = levels[-1].join(around, "node").select(F.col("other").alias("node"), F.col("node").alias("parent")).join(near, "node", "left_anti")
+        level = step.groupBy("node").agg(F.min("parent").alias("parent")).select("node", F.lit(len(levels)).alias("depth"), "parent").checkpoint()
+        if level.isEmpty():
             break
-        found = found.union(edge).checkpoint()
-    return found
+        levels.append(level)
+    return reduce(DataFrame.union, levels)
 
 
 def best_parent(candidates: DataFrame, child: str, parent: str, score: str) -> DataFrame:
@@ -85,8 +97,7 @@ def bridges(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         at = walks.join(up["x"], "x").join(up["y"], "y")
         lower_x = F.col("d_x") >= F.col("d_y")
         moved = at.select(F.when(lower_x, F.col("x")).otherwise(F.col("y")).alias("passed"), F.when(lower_x, F.col("p_x")).otherwise(F.col("x")).alias("x"), F.when(lower_x, F.col("y")).otherwise(F.col("p_y")).alias("y")).checkpoint()
-        passed = moved.select("passed").distinct()
-        covered = passed if covered is None else covered.union(passed).distinct().checkpoint()
+        covered = moved.select("passed") if covered is None else covered.union(moved.select("passed"))
         walks = moved.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().checkpoint()
     if covered is not None:
         links = links.join(covered.withColumnRenamed("passed", "below"), "below", "left_anti")
