@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlake.llm import language, minhash, packing, spans, toxicity
-from meshlake.llm.scratch import keep
+from meshlake.llm.scratch import keep, small_batches
 
 #: A text goes if the language that contains most of its n-grams contains less than this share.
 LEAST_MATCH = 0.2
@@ -19,6 +19,7 @@ LEAST_MATCH = 0.2
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter, or mostly of n-grams that no language has, go."""
+    small_batches(spark)  # holds for the later stages too
     model = language.train(docs)
     found = language.predict(docs, model)
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("match") >= LEAST_MATCH)).select(docs.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlake.llm import hmm, hnsw, kmeans_tree, language, minhash, packing, spans, tokens, toxicity
+from meshlake.llm.scratch import small_batches
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +18,7 @@ def query(f):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def vocabulary(name: str) -> str:

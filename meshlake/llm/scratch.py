@@ -17,6 +17,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
+    """Whole texts go to Python in batches of so many rows at most (a session that asks for fewer keeps its setting)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+    return spark
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write a DataFrame as Parquet in the shared folder and read it back: a short plan that a lost executor doesn't undo."""
     spark = df.sparkSession

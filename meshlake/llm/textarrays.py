@@ -6,6 +6,8 @@ mixed. Two different spans share a hash with a probability near 2**-64.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are held as arrays at once; a single longer document makes a slice of its own.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: White space of the word rule: space and \t \n \v \f \r.
@@ -101,6 +103,13 @@ def as_texts(column: pa.Array) -> Texts:
     return Texts(raw[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
+def give_back() -> None:
+    """Return memory that the allocators hold but nobody uses, for idle workers of earlier stages share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``size`` bytes of text, or one document."""
     import pyarrow.compute as pc
@@ -116,3 +125,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             to = max(at + 1, int(np.searchsorted(total, done + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+        give_back()
