@@ -75,6 +75,25 @@ def read_words(texts: Texts) -> Words:
     return Words(distinct, grams.astype(np.int32), first_gram, sequence.astype(np.int32), first)
 
 
+def read_all_words(texts: list[str]) -> Words:
+    """The words of many texts, read in slices of bounded size."""
+    parts, at = [], 0
+    sizes = np.cumsum([len(t) for t in texts])
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 500_000, "right")))
+        parts.append(read_words(as_texts(pa.array(texts[at:to], pa.string()))))
+        at = to
+    hashes = np.concatenate([p.hashes for p in parts])
+    distinct, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    before = np.cumsum([0] + [len(p.hashes) for p in parts])
+    sizes = np.concatenate([np.diff(p.gram_first) for p in parts])
+    joined = Words(hashes, np.concatenate([p.grams for p in parts]), np.concatenate([[0], np.cumsum(sizes)]), np.zeros(0, np.int32), np.zeros(1, np.int64))
+    kept = subset(joined, place)
+    sequence = np.concatenate([inverse[b + p.sequence] for b, p in zip(before.tolist(), parts, strict=False)]).astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.first) for p in parts]))])
+    return Words(distinct, kept.grams, kept.gram_first, sequence, first)
+
+
 def windows(first: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word and length of each window, and the first window of each document (one more at the end)."""
     n = np.diff(first)
@@ -108,10 +127,13 @@ class Network:
     def vectors(self, words: Words) -> np.ndarray:
         """The input vector of each distinct word, with one of zeros behind them for places past a window's end."""
         out = np.zeros((len(words.hashes) + 1, WIDTH), np.float32)
-        if len(words.hashes):
-            n = np.sqrt(np.diff(words.gram_first)).astype(np.float32)
-            out[:-1] = np.add.reduceat(self.p["grams"][words.grams], words.gram_first[:-1], axis=0) / n[:, None]
-            out[:-1] += self.p["words"][self.own(words)]
+        own = self.own(words)
+        for a in range(0, len(words.hashes), 20_000):  # in blocks, for the n-grams' vectors take much room
+            b = min(a + 20_000, len(words.hashes))
+            first = words.gram_first[a : b + 1]
+            n = np.sqrt(np.diff(first)).astype(np.float32)
+            out[a:b] = np.add.reduceat(self.p["grams"][words.grams[first[0] : first[-1]]], first[:-1] - first[0], axis=0) / n[:, None]
+            out[a:b] += self.p["words"][own[a:b]]
         return out
 
     def forward(self, x: np.ndarray, index: np.ndarray, keep: bool = False):
@@ -217,10 +239,10 @@ def places(words: Words, begin: np.ndarray, length: np.ndarray, nothing: int) ->
     return np.where(steps < length[:, None], found, nothing)
 
 
-def fit(texts: list[str], labels: np.ndarray, window: int = 64, stride: int = 32, epochs: int = 5, batch: int = 64, least: int = 3, seed: int = 7, steps: int = 150) -> Network:
+def fit(texts: list[str], labels: np.ndarray, window: int = 64, stride: int = 32, epochs: int = 6, batch: int = 64, least: int = 3, seed: int = 7, steps: int = 150) -> Network:
     """Train a network on documents, in more rounds if these would make fewer than ``steps`` steps."""
     epochs = max(epochs, -(-steps * batch // max(len(labels), 1)))
-    words = read_words(as_texts(pa.array(texts, pa.string())))
+    words = read_all_words(texts)
     labels = np.asarray(labels, np.float32)
     owner = np.repeat(np.arange(len(labels)), np.diff(words.first))
     pairs = np.unique(owner * (len(words.hashes) + 1) + words.sequence)
@@ -232,7 +254,7 @@ def fit(texts: list[str], labels: np.ndarray, window: int = 64, stride: int = 32
     of_grams = gram_odds(words, document, word, labels)
     net.p["words"][:-1, 0], net.p["grams"][:, 0] = of_words[common] * 0.7, of_grams * 0.3
     begin, length, first = windows(words.first, window, stride)
-    strength = np.append(np.where(held >= least, of_words, 0) + (np.maximum.reduceat(of_grams[words.grams], words.gram_first[:-1]) if len(words.hashes) else 0), -9)
+    strength = np.append(np.where(held >= least, of_words, 0) + (np.maximum.reduceat(of_grams.astype(np.float32)[words.grams], words.gram_first[:-1]) if len(words.hashes) else 0), -9)
     peak = np.empty(len(begin))
     for at in range(0, len(begin), 4096):
         peak[at : at + 4096] = strength[places(words, begin[at : at + 4096], length[at : at + 4096], len(strength) - 1)].max(1)
@@ -296,7 +318,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = (2000
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     rate = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(1.0, per_label[k] / max(counts.get(k, 0), 1))))])
     sample = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) / 1_000_000 < rate[F.col("toxic")])
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").join(sample, "doc_id").select("doc_id", "text", "toxic").toArrow()
+    # the sample's size is bounded by per_label, so it goes to the documents
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").toArrow()
     if not found.num_rows:
         return None
     found = found.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
@@ -310,7 +333,7 @@ def score(docs: DataFrame, net: Network | None, window: int = 64, stride: int =
     def judge(text: pa.Array) -> pa.Array:
         net = shared.value
         found = [np.zeros(0)]
-        for part in slices([pa.RecordBatch.from_arrays([text], ["text"])], size=2_000_000):
+        for part in slices([pa.RecordBatch.from_arrays([text], ["text"])]):
             if net is None:
                 found.append(np.zeros(part.num_rows))
                 continue
