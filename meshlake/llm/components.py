@@ -14,32 +14,33 @@ from pyspark.sql import functions as F
 from meshlake.llm.scratch import forget, keep
 
 
-def _contract(both: DataFrame) -> DataFrame:
-    """both: (u, v) with v among the neighbours considered for u; links each of them, and u, to the smallest."""
-    least = keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-    out = both.join(least, "u")
-    moved = out.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node with a link.
 
     links has the integer columns ``a`` and ``b``; direction, repeats, nulls and links of a node to itself don't matter.
+    Each half of a round gives one link for each that it takes, so the table never grows.
     """
-    edges = keep(links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
-    seen = None
-    while True:
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == seen or not state["n"]:
-            break
-        seen = state
-        # larger neighbours of every node, then smaller ones
-        large = _contract(edges.select(F.col("b").alias("u"), F.col("a").alias("v")).union(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    larger, smaller = F.greatest("a", "b").cast("long"), F.least("a", "b").cast("long")
+    edges = keep(links.where("a <> b").select(larger.alias("a"), smaller.alias("b")))
+    while not _stars(edges):
+        # large star: a node's larger neighbours go to the smallest node around it
+        both = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).union(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = edges.withColumnRenamed("b", "u").join(least, "u").select("a", F.col("m").alias("b"))
         large = keep(large)
-        small = keep(_contract(large.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        # small star: its smaller neighbours, and itself
+        least = keep(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        small = keep(small)
         forget(edges)
         forget(large)
         edges = small
-    roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    nodes = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))).alias("x"))
+    return nodes.groupBy("x.node").agg(F.min("x.component").alias("component"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or linked with one centre only."""
+    sides = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.lit(None).cast("long").alias("to")))).alias("x"))
+    ends = sides.groupBy("x.node").agg(F.min("x.to").alias("low"), F.max("x.to").alias("high"), F.count("*").alias("n"), F.count("x.to").alias("out"))
+    return ends.where("low <> high OR (out > 0 AND out < n)").isEmpty()

@@ -8,8 +8,8 @@ fixed random sequence, the same for all documents, names first among the filled
 Documents with equal sets form classes at once; one of each stands for all. The documents of a bucket are linked
 to one hub, so a bucket of any size gives fewer candidate pairs than it has members. Candidates are confirmed
 on full sets: 100 * intersection >= 75 * union. A bucket whose members remain in several components is tried again
-from another hub, on pairs of members not yet compared with each other's component through it, until a round
-confirms no new link. Equal rows count as copies of a document; null doc_ids link with nothing.
+from other hubs, on pairs of different components not compared before, until a round confirms no new link.
+Equal rows count as copies of a document; null doc_ids link with nothing.
 """
 
 from __future__ import annotations
@@ -139,50 +139,46 @@ def sets(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and kept (its own component's smallest), one row for each input row."""
     described = keep(describe(docs))
-    filled = described.where("n > 0 AND doc_id IS NOT NULL")
     # equal sets: a class of its own, named by its smallest document
-    named = keep(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    member = filled.select("doc_id", "set_a", "set_b").join(named, ["set_a", "set_b"]).select("doc_id", "rep").distinct()
-    member = keep(member)
-    reps = filled.join(named.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id"])
-    buckets = keep(reps.select("doc_id", "n", F.posexplode("keys").alias("band", "key")).select("key", "doc_id", "n"))
-    crowded = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    buckets = keep(buckets.join(keep(crowded), "key"))
-    links, tested, round_ = None, None, 0
+    filled = described.where("n > 0 AND doc_id IS NOT NULL")
+    classes = keep(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    buckets = keep(classes.select(F.col("rep").alias("doc_id"), "n", F.explode("keys").alias("key")))
+    hubs = keep(_hubs(buckets, 0).where("size > 1"))
+    tested = keep(_star_pairs(buckets, hubs, percent))
+    links = keep(confirmed(tested, docs, percent))
+    roots = keep(components(links))
+    rest, round_ = buckets.join(hubs.select("key"), "key").withColumn("component", F.col("doc_id")), 1
     while True:
-        pairs = _star_pairs(buckets, round_, percent)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = keep(pairs)
-        found = keep(confirmed(pairs, docs, percent))
-        if links is not None and found.isEmpty():
+        # what is left: buckets that still hold several components
+        now = roots.select(F.col("node").alias("component"), F.col("component").alias("now"))
+        rest = keep(rest.join(now, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now"))
+        several = keep(rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
+        rest = keep(rest.join(several, "key"))
+        pairs = keep(_star_pairs(rest, keep(_hubs(rest, round_)), percent).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
             break
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        roots = keep(components(links))
+        found = keep(confirmed(pairs, docs, percent))
         if found.isEmpty():
             break
-        # what is left: buckets that still hold several components
-        of = buckets.drop("component").join(roots.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        of = of.withColumn("component", F.coalesce("component", "doc_id"))
-        several = keep(of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
-        buckets = keep(of.join(several, "key"))
-        round_ += 1
-    linked = member.join(roots.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    linked = linked.select("doc_id", F.coalesce("component", "rep").alias("component"))
-    out = described.select("doc_id", "n").join(linked, "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
+        links, tested, round_ = links.union(found), tested.union(pairs), round_ + 1
+        roots = keep(components(links))
+    named = described.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left")
+    out = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _star_pairs(buckets: DataFrame, round_: int, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of each bucket's hub with its other members; from the second round only across components."""
-    across = "component" in buckets.columns
-    parts = ["doc_id", "n"] + ["component"] * across
+def _hubs(buckets: DataFrame, round_: int) -> DataFrame:
+    """key, hub (another member in each round) and size of every bucket."""
+    parts = [c for c in ("doc_id", "n", "component") if c in buckets.columns]
     order = F.xxhash64("doc_id", "key", F.lit(round_))
-    hubs = keep(buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), *parts)).alias("hub")))
-    met = buckets.join(hubs, "key").where("doc_id <> hub.doc_id").where(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
-    if across:
+    return buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), *parts)).alias("hub"), F.count("*").alias("size"))
+
+
+def _star_pairs(buckets: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of each bucket's hub with its other members of a size that can be similar; only across components, where these are known."""
+    met = buckets.join(hubs.select("key", "hub"), "key").where("doc_id <> hub.doc_id").where(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+    if "component" in buckets.columns:
         met = met.where("component <> hub.component")
     swap = F.col("doc_id") < F.col("hub.doc_id")
     return met.select(
@@ -195,8 +191,8 @@ def _star_pairs(buckets: DataFrame, round_: int, percent: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    needed = keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    full = keep(sets(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    full = keep(sets(docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id", "left_semi")))
     left = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
