@@ -1,12 +1,15 @@
 """Removal of repeated passages by sliding sentence spans.
 
-A sentence ends with a word that ends in . ! or ?, at a line break, or with the text. A span starts at a sentence and
-takes following ones until it has ``least`` words; one begins at every sentence, unless the text ends before. Its hash
-covers the words alone (A-Z lower-cased), not the white space between them. Of the spans with one hash, the first by
-doc_id and place stays; every sentence that another one covers is removed with the white space behind it.
+A sentence ends with a word that ends in . ! or ?, at a line break, or with the text. A span is a shortest run of
+sentences with ``least`` words: one begins at every sentence and one ends at every sentence, unless the text is too short
+on that side; a text with fewer words is one span as a whole. So spans cover every sentence of a repeated run of whole
+sentences with ``least`` words or more, up to its last. A span's hash covers the words alone (A-Z lower-cased), not the
+white space between them. Of the spans with one hash, the first by doc_id and place stays; every sentence that another
+one covers is removed with the white space behind it.
 
 Null texts stay null and empty ones empty; rows with a null doc_id stay as they are. Rows with one doc_id count as the
-same document. Ties can't occur: two spans of a document begin at different sentences.
+same document. Ties can't occur: spans of one hash have equally many words, so those of a document begin at different
+sentences.
 """
 
 from __future__ import annotations
@@ -50,13 +53,19 @@ def spans(docs: DataFrame, least: int) -> DataFrame:
             count = len(begin) - 1
             if not count:
                 continue
-            to = np.searchsorted(begin, begin[:-1] + least)  # the sentence behind the span
             document = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            good = (to <= count) & (to <= first[1:][document])
-            at = np.flatnonzero(good)
-            span = span_hashes(hashes, begin[at], begin[to[at]])
+            each = np.arange(count)
+            to = np.searchsorted(begin, begin[:-1] + least)  # the sentence behind the span that begins here
+            ahead = to <= first[1:][document]
+            at = np.searchsorted(begin, begin[1:] - least, "right") - 1  # the first sentence of the span that ends here
+            back = at >= first[:-1][document]
+            back[back] = to[at[back]] != each[back] + 1  # the others begin at their first sentence too
+            short = np.flatnonzero((np.diff(first) > 0) & (np.diff(begin[first]) < least))
+            at = np.concatenate([each[ahead], at[back], first[short]])
+            to = np.concatenate([to[ahead], each[back] + 1, first[short + 1]])
+            span = span_hashes(hashes, begin[at], begin[to])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(span.view(np.int64)), part.column("doc_id").take(pa.array(document[at])), pa.array((at - first[document[at]]).astype(np.int32)), pa.array((to[at] - at).astype(np.int32))],
+                [pa.array(span.view(np.int64)), part.column("doc_id").take(pa.array(document[at])), pa.array((at - first[document[at]]).astype(np.int32)), pa.array((to - at).astype(np.int32))],
                 ["span", "doc_id", "sentence", "n"],
             )
 

@@ -116,6 +116,21 @@ def test_spans_equal_brute_force(spark):
     assert spans.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_spans_take_the_end_of_a_passage_and_short_texts(spark):
+    def sentence(n, tag):
+        return " ".join(f"{tag}{k}" for k in range(n)) + ". "
+
+    passage = sentence(12, "a") + sentence(12, "b") + sentence(5, "c")
+    rows = [(1, sentence(30, "x") + passage + sentence(30, "y")), (2, sentence(25, "z") + passage + sentence(21, "u")), (3, passage), (4, "Just a few words."), (5, "just a  FEW words."), (6, "Just a few words. More")]
+    rows += [(7, sentence(8, "v") + sentence(8, "w")), (8, sentence(8, "v") + sentence(8, "w")), (9, "")]
+    found = {x.doc_id: (x.n_sentences, x.n_removed, x.text) for x in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert found[1] == (5, 0, rows[0][1])
+    assert found[2] == (5, 3, sentence(25, "z") + sentence(21, "u"))
+    assert found[3] == (3, 3, "")
+    assert (found[4][1], found[5], found[6][1]) == (0, (1, 1, ""), 0)
+    assert (found[7][1], found[8], found[9]) == (0, (2, 2, ""), (0, 0, ""))
+
+
 def vectors(n, seed, dims=16):
     r = np.random.default_rng(seed)
     x = r.standard_normal((n, dims))
