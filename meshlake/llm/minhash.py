@@ -5,10 +5,11 @@ words the whole sequence is one shingle; without words or text the set is empty
 each shingle gives both its bin (the top bits) and its value; an empty bin takes the value of a bin that a
 fixed random sequence, the same for all documents, names first among the filled ones. Four bins make a band.
 
-Documents with equal sets form classes at once; one of each stands for all. The documents of a bucket are linked
-to one hub, so a bucket of any size gives fewer candidate pairs than it has members. Candidates are confirmed
-on full sets: 100 * intersection >= 75 * union. A bucket whose members remain in several components is tried again
-from other hubs, on pairs of different components not compared before, until a round confirms no new link.
+Documents with equal sets form classes at once; one of each stands for all. Candidates are confirmed on full sets:
+100 * intersection >= 75 * union. At first the documents of a bucket meet one hub, so a bucket of any size gives fewer
+candidate pairs than it has members; the hub, compared with all, leaves the bucket, and another one follows. Members of
+buckets that still hold several components are compared exactly, each with every one of another component and a size
+that can be similar: in blocks against blocks, so that rows grow with members times blocks and not with pairs.
 Equal rows count as copies of a document; null doc_ids link with nothing.
 """
 
@@ -30,6 +31,8 @@ BINS_BITS, ROWS = 7, 4
 BINS = 1 << BINS_BITS
 #: Rounds of the donor sequence that are tabled; more are computed when a set is so small that these don't reach it.
 DONORS = 64
+#: Rounds of hubs before what is left is compared in blocks of about so many documents and shingles.
+HUB_ROUNDS, BLOCK, BLOCK_SHINGLES = 2, 128, 200_000
 
 
 def shingle_sets(texts: Texts, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -143,25 +146,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     filled = described.where("n > 0 AND doc_id IS NOT NULL")
     classes = keep(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     buckets = keep(classes.select(F.col("rep").alias("doc_id"), "n", F.explode("keys").alias("key")))
-    hubs = keep(_hubs(buckets, 0).where("size > 1"))
-    tested = keep(_star_pairs(buckets, hubs, percent))
-    links = keep(confirmed(tested, docs, percent))
-    roots = keep(components(links))
-    rest, round_ = buckets.join(hubs.select("key"), "key").withColumn("component", F.col("doc_id")), 1
-    while True:
-        # what is left: buckets that still hold several components
-        now = roots.select(F.col("node").alias("component"), F.col("component").alias("now"))
-        rest = keep(rest.join(now, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now"))
-        several = keep(rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
-        rest = keep(rest.join(several, "key"))
-        pairs = keep(_star_pairs(rest, keep(_hubs(rest, round_)), percent).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        found = keep(confirmed(pairs, docs, percent))
-        if found.isEmpty():
-            break
-        links, tested, round_ = links.union(found), tested.union(pairs), round_ + 1
+    links, roots, rest = None, None, buckets.withColumn("component", F.col("doc_id"))
+    for round_ in range(HUB_ROUNDS):
+        several = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        rest = keep(rest.join(keep(several), "key"))
+        hubs = keep(_hubs(rest, round_))
+        found = keep(confirmed(keep(_star_pairs(rest, hubs, percent)), docs, percent))
+        links = found if links is None else links.union(found)
         roots = keep(components(links))
+        rest = rest.join(hubs.select("key", "hub"), "key").where("doc_id <> hub.doc_id").select("doc_id", "n", "key")
+        rest = keep(rest.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    several = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    rest = keep(rest.join(keep(several), "key"))
+    found = keep(block_links(rest, classes.select(F.col("rep").alias("doc_id"), "keys"), docs, percent))
+    if not found.isEmpty():
+        roots = keep(components(links.union(found)))
     named = described.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left")
     out = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
@@ -171,7 +170,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 def _hubs(buckets: DataFrame, round_: int) -> DataFrame:
     """key, hub (another member in each round) and size of every bucket."""
     parts = [c for c in ("doc_id", "n", "component") if c in buckets.columns]
-    order = F.xxhash64("doc_id", "key", F.lit(round_))
+    order = F.xxhash64("doc_id", F.lit(round_))  # the same in all bands, so that near copies meet few hubs
     return buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), *parts)).alias("hub"), F.count("*").alias("size"))
 
 
@@ -191,9 +190,76 @@ def _star_pairs(buckets: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     full = keep(sets(docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id", "left_semi")))
     left = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", "na", "nb", shared.alias("shared")).where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
+
+
+def block_links(members: DataFrame, keys: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """All similar pairs (a, b) of a common bucket and of different components.
+
+    members has doc_id, n, key and component; keys has doc_id and keys. A bucket is cut by component, where one is large,
+    by size so that only neighbouring sizes can be similar, and by a hash into blocks of bounded size.
+    """
+    share = members.groupBy("key", "component").agg(F.count("*").alias("own")).where(F.col("own") >= BLOCK).select("key", "component", F.col("component").alias("large"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+    cut = keep(members.join(share, ["key", "component"], "left").withColumn("size", band))
+    cell = ["key", "size", "large"]
+    cells = cut.groupBy(*cell).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    null_safe = [F.col("m.key") == F.col("c.key"), F.col("m.size") == F.col("c.size"), F.col("m.large").eqNullSafe(F.col("c.large"))]
+    block = F.pmod(F.xxhash64("m.doc_id", F.lit(-1)), F.col("c.blocks"))
+    cut = keep(cut.alias("m").join(keep(cells).alias("c"), null_safe).select("m.*", F.xxhash64("m.key", "m.size", F.coalesce("m.large", F.lit(-1)), F.col("m.large").isNull(), block).alias("block")))
+    blocks = keep(cut.groupBy("key", "block").agg(F.first("size").alias("size"), F.first("large").alias("large")))
+    left, right = blocks.alias("x"), blocks.alias("y")
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")) & (F.abs(F.col("x.size") - F.col("y.size")) <= 1)
+    met = left.join(right, near & ~F.coalesce(F.col("x.large") == F.col("y.large"), F.lit(False))).select("x.key", F.col("x.block").alias("x"), F.col("y.block").alias("y"))
+    met = keep(met)
+    sides = met.select("key", "x", "y", F.col("x").alias("block"), F.lit(True).alias("of_x")).union(met.where("x <> y").select("key", "x", "y", "y", F.lit(False)))
+    full = sets(docs.select(F.col("doc_id").cast("long"), "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    full = keep(full.join(keys, "doc_id"))
+    rows = cut.select("doc_id", "key", "component", "block").join(sides, ["key", "block"]).join(full, "doc_id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        name = {c: table.column(c).to_numpy() for c in ("doc_id", "component", "of_x")}
+        whole = table.column("x")[0] == table.column("y")[0]
+        lists = table.column("shingles").combine_chunks()
+        values, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
+        bands_of = table.column("keys").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        n, of_x = np.diff(offsets), name["of_x"].astype(bool)
+        a, b = np.flatnonzero(of_x), np.flatnonzero(of_x if whole else ~of_x)
+        can = name["component"][a][:, None] != name["component"][b][None, :]
+        can &= 100 * np.minimum(n[a][:, None], n[b][None, :]) >= percent * np.maximum(n[a][:, None], n[b][None, :])
+        if whole:
+            can &= a[:, None] < b[None, :]
+        for k in range(int(np.argmax(bands_of[0] == table.column("key")[0].as_py()))):  # pairs that share an earlier band meet there
+            can &= bands_of[a, k][:, None] != bands_of[b, k][None, :]
+        a, b, can = a[can.any(1)], b[can.any(0)], can[can.any(1)][:, can.any(0)]
+        x, y = [], []
+        if len(a) and len(b):
+            places = [np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in side]) for side in (a, b)]
+            common = np.intersect1d(values[places[0]], values[places[1]])
+            shared = np.zeros((len(a), len(b)), np.float32)
+            cells = []
+            for side, place in zip((a, b), places, strict=True):
+                at = np.minimum(np.searchsorted(common, values[place]), max(len(common) - 1, 0))
+                hit = common[at] == values[place] if len(common) else np.zeros(len(place), bool)
+                row, at = np.repeat(np.arange(len(side)), n[side])[hit], at[hit]
+                order = np.argsort(at, kind="stable")
+                cells.append((row[order], at[order]))
+            for low in range(0, len(common), 4096):
+                parts = []
+                for side, (row, at) in zip((a, b), cells, strict=True):
+                    here = slice(*np.searchsorted(at, [low, low + 4096]))
+                    parts.append(np.zeros((len(side), min(4096, len(common) - low)), np.float32))
+                    parts[-1][row[here], at[here] - low] = 1
+                shared += parts[0] @ parts[1].T
+            shared = shared.astype(np.int64)
+            i, j = np.nonzero(can & (100 * shared >= percent * (n[a][:, None] + n[b][None, :] - shared)))
+            x, y = name["doc_id"][a[i]], name["doc_id"][b[j]]
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+
+    return rows.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()

@@ -60,6 +60,21 @@ def test_minhash_equals_brute_force(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_minhash_compares_all_of_a_bucket(spark, monkeypatch):
+    r = random.Random(4)
+    monkeypatch.setattr(minhash, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(minhash, "bands", lambda signature: np.ones((len(signature), 2), np.uint64) * np.arange(1, 3, dtype=np.uint64))
+    lines = [" ".join(f"w{r.randrange(500)}" for _ in range(14)) for _ in range(30)]
+    rows = [(i, " ".join(r.sample(lines, 4)) + f" own{i}") for i in range(80)]
+    rows += [(100 + i, rows[i][1] + " tail one") for i in range(0, 80, 9)] + [(200 + i, rows[5][1] + f" end{i}") for i in range(30)]
+    sets = {i: shingles(t) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = roots(sets, pairs)
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x.doc_id: x.component_id for x in found} == want
+    assert len(set(want.values())) < len(rows) - 30
+
+
 def test_small_sets_get_whole_signatures():
     values = np.array([5, 1 << 63], np.uint64)
     signature = minhash.signatures(values, np.array([0, 1, 2, 2]))
