@@ -57,7 +57,12 @@ def _checkpoint_folder(df: DataFrame) -> None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
 
 
-def depths(pairs: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def _folded(parts: list[DataFrame]) -> list[DataFrame]:
+    """The same rows in one table once there are 64, so that plans stay short however deep a graph is."""
+    return parts if len(parts) < 64 else [reduce(DataFrame.union, parts).checkpoint()]
+
+
+def depths(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """GRF-03: node, depth, parent of a breadth-first forest: the least parent of the level above; a join for each level.
 
     A level's neighbours lie in it or next to it, so new ones need to be told apart from two levels only.
@@ -65,14 +70,14 @@ def depths(pairs: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
     _checkpoint_folder(pairs)
     around = both_ways(pairs).checkpoint()
     levels = [roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")).distinct().checkpoint()]
-    while len(levels) < most:
-        near = levels[-1].select("node") if len(levels) < 2 else levels[-1].select("node").union(levels[-2].select("node"))
+    done, depth = levels, 0
+    while True:
+        near = reduce(DataFrame.union, [x.select("node") for x in levels])
         step = levels[-1].join(around, "node").select(F.col("other").alias("node"), F.col("node").alias("parent")).join(near, "node", "left_anti")
-        level = step.groupBy("node").agg(F.min("parent").alias("parent")).select("node", F.lit(len(levels)).alias("depth"), "parent").checkpoint()
+        level = step.groupBy("node").agg(F.min("parent").alias("parent")).select("node", F.lit(depth + 1).alias("depth"), "parent").checkpoint()
         if level.isEmpty():
-            break
-        levels.append(level)
-    return reduce(DataFrame.union, levels)
+            return reduce(DataFrame.union, done)
+        levels, done, depth = [levels[-1], level], _folded([*done, level]), depth + 1
 
 
 def best_parent(candidates: DataFrame, child: str, parent: str, score: str) -> DataFrame:
@@ -92,15 +97,15 @@ def bridges(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     links = tree.where("parent IS NOT NULL").select(F.least("node", "parent").alias("low"), F.greatest("node", "parent").alias("high"), F.col("node").alias("below"))
     walks = pairs.select("low", "high").join(links, ["low", "high"], "left_anti").select(F.col("low").alias("x"), F.col("high").alias("y")).checkpoint()
     up = {c: tree.select(F.col("node").alias(c), F.col("depth").alias(f"d_{c}"), F.col("parent").alias(f"p_{c}")) for c in "xy"}
-    covered = None
+    covered = []
     while not walks.isEmpty():
         at = walks.join(up["x"], "x").join(up["y"], "y")
         lower_x = F.col("d_x") >= F.col("d_y")
         moved = at.select(F.when(lower_x, F.col("x")).otherwise(F.col("y")).alias("passed"), F.when(lower_x, F.col("p_x")).otherwise(F.col("x")).alias("x"), F.when(lower_x, F.col("y")).otherwise(F.col("p_y")).alias("y")).checkpoint()
-        covered = moved.select("passed") if covered is None else covered.union(moved.select("passed"))
+        covered = _folded([*covered, moved.select("passed")])
         walks = moved.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().checkpoint()
-    if covered is not None:
-        links = links.join(covered.withColumnRenamed("passed", "below"), "below", "left_anti")
+    if covered:
+        links = links.join(reduce(DataFrame.union, covered).withColumnRenamed("passed", "below"), "below", "left_anti")
     return links.select("low", "high")
 
 

@@ -129,3 +129,9 @@ def test_addresses(spark):
     assert got == ["0" * 31 + "1", "fe80" + "0" * 20 + "00010002", "00010002000300040005000600070008", None, None, None, None, "0" * 32]
     v4 = [r[0] for r in spark.createDataFrame([("10.0.1.255",), ("1.2.3",), ("1.2.3.256",)], "a string").select(network.ipv4_hex("a")).collect()]
     assert v4 == ["0a0001ff", None, None]
+
+
+def test_trees_and_bridges_of_long_chains(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 70)] + [(68, 70)], "low long, high long").repartition(2)
+    nodes = spark.range(1, 71).select(F.col("id").alias("node"))
+    assert {tuple(r) for r in graph.bridges(nodes, pairs).collect()} == {(i, i + 1) for i in range(1, 68)}
