@@ -143,8 +143,13 @@ def occurrence(df: DataFrame, keys: list[str], order: list[str], out: str = "occ
 
 
 def natural_key(c: Column) -> Column:
-    """SRT-02: runs of digits padded to one length, so that text order is natural order."""
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), 1), lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 12, "0")).otherwise(x)), "")
+    """SRT-02: runs of digits, without leading zeros, behind their padded length, so that text order is natural order."""
+
+    def number(x: Column) -> Column:
+        digits = F.regexp_replace(x, r"^0+(?=\d)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), 1), lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(x)), "")
 
 
 def missing_last(c: Column, descending: bool = False) -> list[Column]:

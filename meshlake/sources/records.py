@@ -50,7 +50,7 @@ def table_rows(files: DataFrame, text: str, columns: list[str]) -> DataFrame:
     return rows.select(*keep, "line", *[F.col("c")[i].alias(n) for i, n in enumerate(columns)])
 
 
-def tlv(hex_text: Column, most: int = 255) -> Column:
+def tlv(hex_text: Column) -> Column:
     """SRC-15: (type, length, value in hex) entries of a hex payload; an entry that reaches past the end ends the list."""
     start = F.struct(F.lower(hex_text).alias("rest"), F.array().cast("array<struct<type:int,length:int,value:string>>").alias("out"), F.lit(True).alias("valid"))
 
@@ -64,7 +64,8 @@ def tlv(hex_text: Column, most: int = 255) -> Column:
             F.when(fits, rest).otherwise(s["rest"]).alias("rest"), F.when(fits, F.concat(s["out"], F.array(entry.cast("struct<type:int,length:int,value:string>")))).otherwise(s["out"]).alias("out"), fits.alias("valid")
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["out"])
+    most = F.greatest(F.lit(1), F.coalesce(F.floor(F.length(hex_text) / 4), F.lit(0))).cast("int")  # an entry has four digits at least
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["out"])
 
 
 def flatten_links(devices: DataFrame, owner: str, array: str, fields: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from meshlake.operators import graph
+from meshlake.operators import graph, relational
 from meshlake.sources import records
 from meshlake.streaming import state
 
@@ -135,3 +135,11 @@ def test_trees_and_bridges_of_long_chains(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 70)] + [(68, 70)], "low long, high long").repartition(2)
     nodes = spark.range(1, 71).select(F.col("id").alias("node"))
     assert {tuple(r) for r in graph.bridges(nodes, pairs).collect()} == {(i, i + 1) for i in range(1, 68)}
+
+
+def test_natural_order_of_long_numbers_and_long_tlv(spark):
+    want = ["v2", "v010", "v999999999999", "v1000000000000", "v1000000000000x", "v1000000000001", "w1"]
+    df = spark.createDataFrame([(x,) for x in reversed(want)], "v string")
+    assert [r.v for r in df.orderBy(relational.natural_key(F.col("v"))).collect()] == want
+    got = spark.createDataFrame([("0101ff" * 300,), ("0500" * 300,), (None,)], "h string").select(records.tlv(F.col("h"))).collect()
+    assert [len(r[0]) for r in got] == [300, 300, 0]
