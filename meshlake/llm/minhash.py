@@ -3,14 +3,21 @@
 A document's set is its distinct shingles of five words (lower-cased A-Z, words without white space); with fewer
 words the whole sequence is one shingle; without words or text the set is empty and links with nothing. One hash of
 each shingle gives both its bin (the top bits) and its value; an empty bin takes the value of a bin that a
-fixed random sequence, the same for all documents, names first among the filled ones. Four bins make a band.
-
-Documents with equal sets form classes at once; one of each stands for all. Candidates are confirmed on full sets:
-100 * intersection >= 75 * union. At first the documents of a bucket meet one hub, so a bucket of any size gives fewer
-candidate pairs than it has members; the hub, compared with all, leaves the bucket, and another one follows. Members of
-buckets that still hold several components are compared exactly, each with every one of another component and a size
-that can be similar: in blocks against blocks, so that rows grow with members times blocks and not with pairs.
-Equal rows count as copies of a document; null doc_ids link with nothing.
+fixed random sequence, the same for all documents, names first among the filled ones. Six bins make a band, and 42 bands
+put a pair with a similarity of 0.75 into a common bucket with probability 0.9997, one with 0.4 with 0.16.
+
+Documents with equal sets form a class at once; one of each stands for all. Links are confirmed on full sets:
+100 * intersection >= percent * union. The members of a bucket meet one hub, so a bucket of any size gives fewer
+candidate pairs than it has members. Members of buckets that hold several components even then are compared exactly:
+their shingles are ordered from rare to frequent, and two sets that are similar enough must share one among the first
+few of each (prefix filter), at places that leave room for the rest. So what a whole bucket has in common gives no
+pairs, and links between its members are found however many components it holds. Of a shingle's documents only those outside its
+largest component meet the others; pairs of one component are never made.
+
+Every row counts: equal rows are copies; rows with one doc_id and different texts are different documents that
+don't link for that. component_id is the smallest doc_id of the rows reachable, with its own. Null doc_ids link with nothing
+(component_id null, kept true). Ties need no rule, as classes and components don't depend on an order. Long texts are taken whole, in slices of
+their own. An empty table gives an empty result. Columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,19 +27,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlake.llm.columns import column, numbered, only
 from meshlake.llm.components import components
-from meshlake.llm.scratch import keep
+from meshlake.llm.scratch import forget, keep
 from meshlake.llm.textarrays import Texts, as_texts, mix, slices
 
-BINS_BITS, ROWS = 7, 4
+BINS_BITS, ROWS, BANDS = 8, 6, 42
 BINS = 1 << BINS_BITS
 #: Rounds of the donor sequence that are tabled; more are computed when a set is so small that these don't reach it.
 DONORS = 64
-#: Rounds of hubs before what is left is compared in blocks of about so many documents and shingles.
-HUB_ROUNDS, BLOCK, BLOCK_SHINGLES = 2, 128, 200_000
+#: Comparisons of one shingle's documents that a task makes at most, about.
+TASK_PAIRS = 1 << 24
 
 
 def shingle_sets(texts: Texts, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -99,167 +107,174 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def bands(signature: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of a signature."""
-    parts = signature.reshape(len(signature), -1, ROWS)
+    parts = signature[:, : ROWS * BANDS].reshape(len(signature), BANDS, ROWS)
     keys = np.zeros(parts.shape[:2], np.uint64)
     for i in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
     return mix(keys + np.arange(keys.shape[1], dtype=np.uint64))
 
 
+def _names(values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """A 128-bit name of each set, as two numbers."""
+    sums = []
+    for k, shift in ((0x9E3779B97F4A7C15, 17), (0xC2B2AE3D27D4EB4F, 23)):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values * np.uint64(k) ^ (values >> np.uint64(shift))))])
+        sums.append(pa.array(mix(total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)))
+    return sums
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), set_a and set_b (a 128-bit name of the set), keys (of the bands; null for empty sets)."""
+    """doc_id, digest, n (set size), set_a and set_b (the set's name), keys (of the bands; null for empty sets); docs has doc_id, text and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             values, offsets = shingle_sets(as_texts(part.column("text")))
             n = np.diff(offsets)
             keys = bands(signatures(values, offsets))
-            names = [_sums(values * np.uint64(k) ^ (values >> np.uint64(s)), offsets) for k, s in ((0x9E3779B97F4A7C15, 17), (0xC2B2AE3D27D4EB4F, 23))]
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.reshape(-1).view(np.int64))
             lists = pa.compute.if_else(pa.array(n > 0), lists, pa.scalar(None, lists.type))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *(pa.array(mix(x).view(np.int64)) for x in names), lists], ["doc_id", "n", "set_a", "set_b", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, set_a long, set_b long, keys array<long>")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(n), *_names(values, offsets), lists], ["doc_id", "digest", "n", "set_a", "set_b", "keys"])
 
-
-def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The sum of mixed values of each document."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values))])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    return docs.mapInArrow(run, "doc_id long, digest binary, n long, set_a long, set_b long, keys array<long>")
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles (array<long>)."""
+    """set_a, set_b and shingles (array<long>) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             values, offsets = shingle_sets(as_texts(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets.astype(np.int32), values.view(np.int64))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([*_names(values, offsets), pa.ListArray.from_arrays(offsets.astype(np.int32), values.view(np.int64))], ["set_a", "set_b", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "set_a long, set_b long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and kept (its own component's smallest), one row for each input row."""
-    described = keep(describe(docs))
-    # equal sets: a class of its own, named by its smallest document
+    """doc_id, n_shingles, component_id and kept (doc_id = component_id), one row for each input row."""
+    return labelled(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the text of its smallest doc_id stays, once.
+
+    Rows with a null doc_id and those without words all stay, but for repeats of doc_id and text. Columns stay as they are.
+    """
+    found = labelled(docs, percent, digests=True).where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    # of a component that holds several texts of its smallest doc_id, one
+    best = found.where("kept AND n_shingles > 0").groupBy("component_id", "root").agg(F.min("digest").alias("best"), F.count("*").alias("rows")).where("rows > 1").select("root", "best")
+    rows = found.join(keep(best), "root", "left")
+    rows = rows.select("doc_id", "digest", (F.col("kept") & F.coalesce(F.col("best") == F.col("digest"), F.lit(True))).alias("stays"))
+    # doc_id and text of rows that go, or that are there more than once
+    odd = keep(rows.groupBy("doc_id", "digest").agg(F.max("stays").alias("stays"), F.count("*").alias("times")).where("NOT stays OR times > 1"))
+    rows = numbered(docs)
+    marked = rows.withColumn("doc_id", column(docs, "doc_id").cast("long")).withColumn("digest", _digest(column(docs, "text")))
+    left = marked.join(odd, ["doc_id", "digest"], "left").where("stays IS NULL OR stays")
+    once = left.where("times IS NULL").select(rows.columns).union(left.where("times > 1").dropDuplicates(["doc_id", "digest"]).select(rows.columns))
+    return once.toDF(*docs.columns)
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("string")))
+
+
+def labelled(docs: DataFrame, percent: int = 75, digests: bool = False) -> DataFrame:
+    """doc_id, digest (of the text, if asked for), n_shingles, root (a number of the component; null for empty sets), component_id and kept of every row."""
+    plain = only(docs, doc_id="long", text="string")
+    described = keep(describe(plain.withColumn("digest", _digest(F.col("text")) if digests else F.lit(None).cast("binary"))).withColumn("row", F.monotonically_increasing_id()))
     filled = described.where("n > 0 AND doc_id IS NOT NULL")
-    classes = keep(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    buckets = keep(classes.select(F.col("rep").alias("doc_id"), "n", F.explode("keys").alias("key")))
-    links, roots, rest = None, None, buckets.withColumn("component", F.col("doc_id"))
-    for round_ in range(HUB_ROUNDS):
-        several = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        rest = keep(rest.join(keep(several), "key"))
-        hubs = keep(_hubs(rest, round_))
-        found = keep(confirmed(keep(_star_pairs(rest, hubs, percent)), docs, percent))
-        links = found if links is None else links.union(found)
-        roots = keep(components(links))
-        rest = rest.join(hubs.select("key", "hub"), "key").where("doc_id <> hub.doc_id").select("doc_id", "n", "key")
-        rest = keep(rest.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-    several = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rest = keep(rest.join(keep(several), "key"))
-    found = keep(block_links(rest, classes.select(F.col("rep").alias("doc_id"), "keys"), docs, percent))
-    if not found.isEmpty():
-        roots = keep(components(links.union(found)))
-    named = described.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left")
-    out = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
-
-
-def _hubs(buckets: DataFrame, round_: int) -> DataFrame:
-    """key, hub (another member in each round) and size of every bucket."""
-    parts = [c for c in ("doc_id", "n", "component") if c in buckets.columns]
-    order = F.xxhash64("doc_id", F.lit(round_))  # the same in all bands, so that near copies meet few hubs
-    return buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), *parts)).alias("hub"), F.count("*").alias("size"))
-
-
-def _star_pairs(buckets: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of each bucket's hub with its other members of a size that can be similar; only across components, where these are known."""
-    met = buckets.join(hubs.select("key", "hub"), "key").where("doc_id <> hub.doc_id").where(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
-    if "component" in buckets.columns:
-        met = met.where("component <> hub.component")
-    swap = F.col("doc_id") < F.col("hub.doc_id")
-    return met.select(
-        F.least("doc_id", "hub.doc_id").alias("a"),
-        F.greatest("doc_id", "hub.doc_id").alias("b"),
-        F.when(swap, F.col("n")).otherwise(F.col("hub.n")).alias("na"),
-        F.when(swap, F.col("hub.n")).otherwise(F.col("n")).alias("nb"),
-    ).distinct()
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    classes = keep(filled.groupBy("set_a", "set_b").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    buckets = classes.select("node", "n", F.explode("keys").alias("key"))
+    several = keep(buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
+    members = keep(buckets.join(several, "key"))
+    full = full_sets(plain, classes, members)
+    pairs = keep(_star_pairs(members, percent))
+    links = keep(confirmed(pairs, full, percent))
+    roots = keep(components(links))
+    rest = keep(_open(members, roots))
+    forget(several, members, pairs, links)
+    candidates = keep(prefix_pairs(rest, full, percent))
+    more = keep(confirmed(candidates, full, percent))
+    roots = merged(roots, more)
+    forget(rest, candidates, full)
+    lowest = roots.join(classes.select("node", F.col("doc_id").alias("least")), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = keep(classes.select("set_a", "set_b", "node", "doc_id").join(keep(roots.join(lowest, "component")), "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    forget(classes)
+    out = described.drop("keys").join(of_class, ["set_a", "set_b"], "left")
+    real = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    component = F.when(real, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), F.when(real, F.col("root")).alias("root"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """node and shingles of every class that has a bucket with others."""
+    named = classes.select("node", "doc_id", "set_a", "set_b").join(members.select("node").distinct(), "node", "left_semi")
+    named = keep(named)
+    texts = docs.join(keep(named.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = sets(texts).join(named.select("set_a", "set_b", "node"), ["set_a", "set_b"])
+    return keep(found.select("node", "shingles").dropDuplicates(["node"]))  # a document's repeated rows
+
+
+def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of each bucket's hub with its other members of a size that can be similar."""
+    order = F.xxhash64("node")  # the same in all bands, so that near copies meet few hubs
+    hubs = keep(members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n")).alias("hub")))
+    met = members.join(hubs, "key").where("node <> hub.node").where(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+    return met.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    full = keep(sets(docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id", "left_semi")))
-    left = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    one = pairs.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = one.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", "na", "nb", shared.alias("shared")).where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
 
 
-def block_links(members: DataFrame, keys: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """All similar pairs (a, b) of a common bucket and of different components.
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, n and component of the members of buckets that hold several components."""
+    placed = members.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return placed.join(keep(several), "key").select("node", "n", "component").distinct()
+
+
+def prefix_pairs(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b, na, nb) of rows (node, n, component) of different components that can be similar enough, and others that pass the filter.
 
-    members has doc_id, n, key and component; keys has doc_id and keys. A bucket is cut by component, where one is large,
-    by size so that only neighbouring sizes can be similar, and by a hash into blocks of bounded size.
+    With all sets in one order of shingles, sets that share the number that a similarity of percent takes also share one
+    of the first n - that number + 1 shingles of each; for the smaller set that prefix is shorter. Shingles of one set alone come first and need no row.
     """
-    share = members.groupBy("key", "component").agg(F.count("*").alias("own")).where(F.col("own") >= BLOCK).select("key", "component", F.col("component").alias("large"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    cut = keep(members.join(share, ["key", "component"], "left").withColumn("size", band))
-    cell = ["key", "size", "large"]
-    cells = cut.groupBy(*cell).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    null_safe = [F.col("m.key") == F.col("c.key"), F.col("m.size") == F.col("c.size"), F.col("m.large").eqNullSafe(F.col("c.large"))]
-    block = F.pmod(F.xxhash64("m.doc_id", F.lit(-1)), F.col("c.blocks"))
-    cut = keep(cut.alias("m").join(keep(cells).alias("c"), null_safe).select("m.*", F.xxhash64("m.key", "m.size", F.coalesce("m.large", F.lit(-1)), F.col("m.large").isNull(), block).alias("block")))
-    blocks = keep(cut.groupBy("key", "block").agg(F.first("size").alias("size"), F.first("large").alias("large")))
-    left, right = blocks.alias("x"), blocks.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")) & (F.abs(F.col("x.size") - F.col("y.size")) <= 1)
-    met = left.join(right, near & ~F.coalesce(F.col("x.large") == F.col("y.large"), F.lit(False))).select("x.key", F.col("x.block").alias("x"), F.col("y.block").alias("y"))
-    met = keep(met)
-    sides = met.select("key", "x", "y", F.col("x").alias("block"), F.lit(True).alias("of_x")).union(met.where("x <> y").select("key", "x", "y", "y", F.lit(False)))
-    full = sets(docs.select(F.col("doc_id").cast("long"), "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
-    full = keep(full.join(keys, "doc_id"))
-    rows = cut.select("doc_id", "key", "component", "block").join(sides, ["key", "block"]).join(full, "doc_id")
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        name = {c: table.column(c).to_numpy() for c in ("doc_id", "component", "of_x")}
-        whole = table.column("x")[0] == table.column("y")[0]
-        lists = table.column("shingles").combine_chunks()
-        values, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
-        bands_of = table.column("keys").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-        n, of_x = np.diff(offsets), name["of_x"].astype(bool)
-        a, b = np.flatnonzero(of_x), np.flatnonzero(of_x if whole else ~of_x)
-        can = name["component"][a][:, None] != name["component"][b][None, :]
-        can &= 100 * np.minimum(n[a][:, None], n[b][None, :]) >= percent * np.maximum(n[a][:, None], n[b][None, :])
-        if whole:
-            can &= a[:, None] < b[None, :]
-        for k in range(int(np.argmax(bands_of[0] == table.column("key")[0].as_py()))):  # pairs that share an earlier band meet there
-            can &= bands_of[a, k][:, None] != bands_of[b, k][None, :]
-        a, b, can = a[can.any(1)], b[can.any(0)], can[can.any(1)][:, can.any(0)]
-        x, y = [], []
-        if len(a) and len(b):
-            places = [np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in side]) for side in (a, b)]
-            common = np.intersect1d(values[places[0]], values[places[1]])
-            shared = np.zeros((len(a), len(b)), np.float32)
-            cells = []
-            for side, place in zip((a, b), places, strict=True):
-                at = np.minimum(np.searchsorted(common, values[place]), max(len(common) - 1, 0))
-                hit = common[at] == values[place] if len(common) else np.zeros(len(place), bool)
-                row, at = np.repeat(np.arange(len(side)), n[side])[hit], at[hit]
-                order = np.argsort(at, kind="stable")
-                cells.append((row[order], at[order]))
-            for low in range(0, len(common), 4096):
-                parts = []
-                for side, (row, at) in zip((a, b), cells, strict=True):
-                    here = slice(*np.searchsorted(at, [low, low + 4096]))
-                    parts.append(np.zeros((len(side), min(4096, len(common) - low)), np.float32))
-                    parts[-1][row[here], at[here] - low] = 1
-                shared += parts[0] @ parts[1].T
-            shared = shared.astype(np.int64)
-            i, j = np.nonzero(can & (100 * shared >= percent * (n[a][:, None] + n[b][None, :] - shared)))
-            x, y = name["doc_id"][a[i]], name["doc_id"][b[j]]
-        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
-
-    return rows.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    tokens = rows.join(full, "node").select("node", "n", "component", F.explode("shingles").alias("token"))
+    often = keep(tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"))
+    held = tokens.join(often, "token").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("t"))
+    held = held.withColumn("m", F.size("t"))
+    least = F.ceil(percent * F.col("n") / 100)  # shared with a larger set
+    equal = F.ceil(2 * percent * F.col("n") / (100 + percent))  # shared with a set as large
+    first = held.where(F.col("m") >= least).select("node", "n", "component", "m", F.posexplode(F.slice("t", F.lit(1), (F.col("m") - least + 1).cast("int"))).alias("at", "x"))
+    prefix = keep(first.select("node", "n", "component", F.col("x.token").alias("token"), (F.col("n") - F.col("m") + F.col("at")).alias("place"), (F.col("at") <= F.col("m") - equal).alias("short")))
+    per = prefix.groupBy("token", "component").agg(F.count("*").alias("m"))
+    groups = per.groupBy("token").agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("m"), F.count("*").alias("several")).where("several > 1")
+    salts = F.ceil((F.col("m") - F.col("most.m")) * F.col("m") / TASK_PAIRS)
+    groups = keep(groups.select("token", F.col("most.component").alias("largest"), salts.alias("salts")))
+    met = keep(prefix.join(groups, "token"))
+    x = met.where("component <> largest").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).alias("x")
+    y = met.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).alias("y")
+    apart = "x.token = y.token AND x.salt = y.salt AND x.component <> y.component AND (y.component = y.largest OR x.node < y.node)"
+    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND CASE WHEN x.n <= y.n THEN x.short ELSE y.short END"
+    room = f"{100 + percent} * least(x.n - x.place, y.n - y.place) >= {percent} * (x.n + y.n)"
+    pairs = x.join(y, F.expr(f"{apart} AND {sizes} AND {room}"))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links, found from the components before them."""
+    if links.isEmpty():
+        return roots
+    of = roots.select(F.col("node").alias("x"), F.col("component").alias("at"))
+    new = links
+    for side in ("a", "b"):
+        new = new.join(of, F.col(side) == F.col("x"), "left").withColumn(side, F.coalesce("at", side)).drop("x", "at")
+    joined = keep(components(keep(new.select("a", "b").distinct())))
+    upper = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = roots.join(upper, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # documents that had no link before
+    return keep(moved.union(joined.join(roots, "node", "left_anti")))

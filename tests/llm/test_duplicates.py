@@ -60,9 +60,10 @@ def test_minhash_equals_brute_force(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_minhash_compares_all_of_a_bucket(spark, monkeypatch):
+def test_minhash_finds_all_links_of_a_bucket(spark, monkeypatch):
+    """Documents of shared lines, all in one bucket, mostly under the limit alike."""
     r = random.Random(4)
-    monkeypatch.setattr(minhash, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(minhash, "TASK_PAIRS", 50)
     monkeypatch.setattr(minhash, "bands", lambda signature: np.ones((len(signature), 2), np.uint64) * np.arange(1, 3, dtype=np.uint64))
     lines = [" ".join(f"w{r.randrange(500)}" for _ in range(14)) for _ in range(30)]
     rows = [(i, " ".join(r.sample(lines, 4)) + f" own{i}") for i in range(80)]
@@ -75,6 +76,35 @@ def test_minhash_compares_all_of_a_bucket(spark, monkeypatch):
     assert len(set(want.values())) < len(rows) - 30
 
 
+def test_minhash_on_a_template(spark):
+    """300 documents of one template, 0.74 alike with each other; 150 pairs among them are over the limit."""
+    template = [f"t{i}" for i in range(170)]
+    rows = []
+    for i in range(300):
+        own = [f"p{i // 2}x{k}" for k in range(4)] + [f"o{i}x{k}" for k in range(25)]
+        rows.append((i, " ".join(template + own)))
+    sets = {i: shingles(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.73 < alike(0, 2) < 0.75 <= alike(0, 1) < 0.78
+    found = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == {i: i - i % 2 for i in range(300)}
+
+
+def test_minhash_takes_rows_and_not_ids(spark):
+    """An id with two texts, repeated rows, nulls, and columns with awkward names."""
+    p, other = prose(1, "en", 60), prose(2, "de", 60)
+    rows = [(1, p), (2, p), (2, other), (2, other), (3, other + " end"), (None, p), (4, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(*x, 1, 2, "z") for x in rows], "doc_id long, text string, `a.b` int, Text int, NODE string").repartition(2)
+    found = sorted((x.doc_id or 0, x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(docs).collect() if x.n_shingles)
+    n = len(shingles(other))
+    assert [x for x in found if x[0] == 2] == sorted([(2, len(shingles(p)), 1, False), (2, n, 2, True), (2, n, 2, True)])
+    assert (3, n + 1, 2, False) in found
+    left = minhash.deduplicated(docs)
+    assert left.columns == docs.columns
+    assert sorted((x.doc_id or 0, x.text or "") for x in left.collect()) == sorted([(1, p), (2, other), (0, p), (4, ""), (5, "")])
+    assert minhash.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_small_sets_get_whole_signatures():
     values = np.array([5, 1 << 63], np.uint64)
     signature = minhash.signatures(values, np.array([0, 1, 2, 2]))
