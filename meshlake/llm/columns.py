@@ -25,6 +25,12 @@ def column(df: DataFrame, name: str) -> Column:
     return F.col(f"_{place(df, name)}")
 
 
+def known(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows with the named columns under these names and all others numbered, so that no other name clashes."""
+    at = {place(df, c): c for c in names}
+    return df.toDF(*(at.get(i, f"_{i}") for i in range(len(df.columns))))
+
+
 def only(df: DataFrame, **types: str) -> DataFrame:
     """The named columns alone, cast to the types given."""
     return numbered(df).select(*(column(df, c).cast(t).alias(c) for c, t in types.items()))

@@ -10,7 +10,8 @@ contains most of the text.
 Training reads a sample of at most about ``per_language`` documents of each language, chosen by a hash of doc_id; with
 fewer, all of them. Texts that are null or have no letter get ``und`` and score 0; equal counts go to the language
 with more training documents, then to the first by name. Rows with null lang, text or doc_id aren't learned from.
-Documents are scored row by row, so repeated rows get equal results and an empty table an empty one.
+Documents are scored row by row and whole, so repeated rows get equal results and an empty table an empty one. Other columns are
+returned as they are, whatever their names; those named lang_pred, score or match are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlake.llm.columns import column, numbered, only
 from meshlake.llm.textarrays import as_texts, mix, slices
 
 ORDERS = (3, 4, 5)
@@ -95,7 +97,7 @@ class Filter:
 
 def train(docs: DataFrame, per_language: int = 3000, least: int = 3, share: float = 0.2, bits: int = 21) -> Filter:
     """Learn a filter of 2**bits positions from the columns doc_id, text and lang of labelled documents."""
-    known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    known = only(docs, doc_id="long", text="string", lang="string").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     counted = sorted(((r["n"], r["lang"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()), key=lambda x: (-x[0], x[1]))  # a row for each language
     languages = [name for _, name in counted]
     if not languages:
@@ -161,8 +163,8 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(np.concatenate(matches) if matches else [], pa.float64())], ["lang_pred", "score", "match"])
 
     udf = F.arrow_udf(judge, "lang_pred string, score double, match double")
-    text = F.col("text").cast("string")
+    text = column(docs, "text").cast("string")
     # texts without a letter come as null, so that they have no n-grams
     judged = udf(F.when(text.rlike(r"\p{L}"), letters(text)))
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "match")]
-    return docs.select(*own, judged.alias("_judged")).select(*own, "_judged.*")
+    own = [(F.col(f"_{i}"), c) for i, c in enumerate(docs.columns) if c.lower() not in ("lang_pred", "score", "match")]
+    return numbered(docs).select(*(c for c, _ in own), judged.alias("judged")).select(*(c for c, _ in own), "judged.*").toDF(*(c for _, c in own), "lang_pred", "score", "match")

@@ -7,8 +7,9 @@ that pattern repeats while its counts last. Then each piece takes the planned sl
 pieces of its length. Ranks come from windows over (length, bucket) with the counts of earlier buckets added,
 so a length that most pieces share is not ranked in one task.
 
-Null and empty texts give one piece with the end id alone. Repeated rows are packed as often as they occur.
-Columns other than doc_id and text are ignored.
+Null and empty texts give one piece with the end id alone; null doc_ids stay null. Repeated rows are packed as often as they occur;
+ties between pieces of one length go by their numbers in the written table of pieces. Long texts are cut into pieces of whole capacity and a
+rest. An empty table gives an empty result. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.llm import bpe
+from meshlake.llm.columns import only
 from meshlake.llm.scratch import keep
 from meshlake.llm.textarrays import slices
 
@@ -52,7 +54,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_id
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return only(docs, doc_id="long", text="string").mapInArrow(run, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -91,9 +93,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     """The pieces of all documents with sequence_id and offset; with_ids adds the tokens themselves."""
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    all_pieces = keep(
-        pieces(docs, vocabulary, capacity, end_id, with_ids).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)).cast("int"))
-    )
+    # numbers of the written rows deal out a length, so neither a null nor a repeated doc_id makes a hot bucket
+    all_pieces = keep(pieces(docs, vocabulary, capacity, end_id, with_ids).withColumn("row", F.monotonically_increasing_id())).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     sizes = all_pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = keep(sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
@@ -112,8 +113,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
             names = [c for c in batch.schema.names if c != "rank"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(x) for x in placed.values()], names + list(placed))
 
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = all_pieces.withColumn("nth", F.row_number().over(within) - 1).join(sizes.select("length", "bucket", "before"), ["length", "bucket"])
+    within = Window.partitionBy("length", "bucket").orderBy("row")
+    ranked = all_pieces.withColumn("nth", F.row_number().over(within) - 1).join(sizes.select("length", "bucket", "before").hint("merge"), ["length", "bucket"])  # dealt out by these columns already
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long"
     return ranked.select(*columns, (F.col("before") + F.col("nth")).cast("long").alias("rank")).mapInArrow(place, schema)

@@ -1,15 +1,14 @@
 """Removal of repeated passages by sliding sentence spans.
 
-A sentence ends with a word that ends in . ! or ?, at a line break, or with the text. A span is a shortest run of
-sentences with ``least`` words: one begins at every sentence and one ends at every sentence, unless the text is too short
-on that side; a text with fewer words is one span as a whole. So spans cover every sentence of a repeated run of whole
-sentences with ``least`` words or more, up to its last. A span's hash covers the words alone (A-Z lower-cased), not the
-white space between them. Of the spans with one hash, the first by doc_id and place stays; every sentence that another
-one covers is removed with the white space behind it.
-
-Null texts stay null and empty ones empty; rows with a null doc_id stay as they are. Rows with one doc_id count as the
-same document. Ties can't occur: spans of one hash have equally many words, so those of a document begin at different
-sentences.
+A sentence ends with a word that ends in . ! or ?, at a line break, or with the text. A span is a run of ``run``
+consecutive sentences, one from every sentence that has so many from there; a text with fewer sentences is one span as a whole.
+A span's hash covers the words alone (A-Z lower-cased), not the white space between them. Of the spans with one hash,
+the first by doc_id and place stays; every sentence that another one covers is removed with the white space behind it.
+
+Documents are told apart by doc_id and text: rows with one doc_id and different texts are different documents (in the order of
+a hash of their texts), rows that repeat both are one document and stay alike. Null texts stay null and empty ones empty, with no
+sentences; rows with a null doc_id stay as they are. Long texts are taken whole. An empty table gives an empty result. All
+columns are returned as they are but for the text, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlake.llm.scratch import keep
+from meshlake.llm.columns import column, numbered, place
+from meshlake.llm.scratch import forget, keep
 from meshlake.llm.textarrays import Texts, _symbols, as_texts, mix, slices, span_hashes
 
 STOPS = np.zeros(256, bool)
@@ -44,43 +44,37 @@ def sentences(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return hashes, starts, begin, np.searchsorted(begin[:-1], first)
 
 
-def spans(docs: DataFrame, least: int) -> DataFrame:
-    """span (hash), doc_id, sentence (from 0) and n (sentences in it) of every span."""
+def spans(docs: DataFrame, run: int) -> DataFrame:
+    """span (hash), doc_id, part and sentence (from 0) of every span; docs has doc_id, part and text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             hashes, _, begin, first = sentences(as_texts(part.column("text")))
-            count = len(begin) - 1
-            if not count:
-                continue
             document = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            each = np.arange(count)
-            to = np.searchsorted(begin, begin[:-1] + least)  # the sentence behind the span that begins here
-            ahead = to <= first[1:][document]
-            at = np.searchsorted(begin, begin[1:] - least, "right") - 1  # the first sentence of the span that ends here
-            back = at >= first[:-1][document]
-            back[back] = to[at[back]] != each[back] + 1  # the others begin at their first sentence too
-            short = np.flatnonzero((np.diff(first) > 0) & (np.diff(begin[first]) < least))
-            at = np.concatenate([each[ahead], at[back], first[short]])
-            to = np.concatenate([to[ahead], each[back] + 1, first[short + 1]])
-            span = span_hashes(hashes, begin[at], begin[to])
+            to = np.minimum(np.arange(len(document)) + run, first[1:][document])
+            at = np.flatnonzero((to - np.arange(len(document)) == run) | (np.arange(len(document)) == first[:-1][document]))
+            of = pa.array(document[at])
+            span = span_hashes(hashes, begin[at], begin[to[at]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(span.view(np.int64)), part.column("doc_id").take(pa.array(document[at])), pa.array((at - first[document[at]]).astype(np.int32)), pa.array((to - at).astype(np.int32))],
-                ["span", "doc_id", "sentence", "n"],
+                [pa.array(span.view(np.int64)), part.column("doc_id").take(of), part.column("part").take(of), pa.array((at - first[document[at]]).astype(np.int32))], ["span", "doc_id", "part", "sentence"]
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(run, "span long, doc_id long, sentence int, n int")
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(cut, "span long, doc_id long, part long, sentence int")
 
 
-def remove_repeats(docs: DataFrame, least: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, run: int = 3) -> DataFrame:
     """The rows of docs with text cleaned, n_sentences and n_removed (which replace columns of these names)."""
-    every = keep(spans(docs, least))
+    rows = numbered(docs)
+    text = column(docs, "text").cast("string")
+    rows = rows.withColumn("doc_id", column(docs, "doc_id").cast("long")).withColumn("part", F.xxhash64(text))
+    every = keep(spans(rows.select("doc_id", "part", text.alias("text")), run))
     often = keep(every.groupBy("span").agg(F.count("*").alias("times")).where("times > 1").select("span"))
     hits = keep(every.join(often, "span"))
-    first = keep(hits.groupBy("span").agg(F.min(F.struct("doc_id", "sentence")).alias("first")))
-    later = hits.join(first, "span").where("doc_id <> first.doc_id OR sentence <> first.sentence")
-    cuts = keep(later.groupBy("doc_id").agg(F.collect_set(F.struct("sentence", "n")).alias("cuts")))
+    forget(every, often)
+    first = keep(hits.groupBy("span").agg(F.min(F.struct("doc_id", "part", "sentence")).alias("first")))
+    later = hits.join(first, "span").where("doc_id <> first.doc_id OR part <> first.part OR sentence <> first.sentence")
+    cuts = keep(later.groupBy("doc_id", "part").agg(F.collect_set("sentence").alias("cuts")))
+    forget(hits, first)
 
     def clean(text: pa.Array, cuts: pa.Array) -> pa.Array:
         out, n_sentences, n_removed = [], [], []
@@ -99,7 +93,7 @@ def remove_repeats(docs: DataFrame, least: int = 20) -> DataFrame:
                     continue
                 gone = np.zeros(int(counts[i]), bool)
                 for c in cut:
-                    gone[c["sentence"] : c["sentence"] + c["n"]] = True
+                    gone[c : c + run] = True
                 edges = at[first[i] : first[i + 1]].tolist() + [b]
                 kept = [data[a : edges[0]], *(data[edges[k] : edges[k + 1]] for k in np.flatnonzero(~gone).tolist())]
                 n_removed.append(int(gone.sum()))
@@ -107,8 +101,6 @@ def remove_repeats(docs: DataFrame, least: int = 20) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(n_sentences, pa.int64()), pa.array(n_removed, pa.int64())], ["text", "n_sentences", "n_removed"])
 
     udf = F.arrow_udf(clean, "text string, n_sentences long, n_removed long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("_row"))
-    joined = rows.join(cuts.withColumnRenamed("doc_id", "_id"), "_id", "left")
-    done = joined.withColumn("_done", udf(F.col("_row.text").cast("string"), F.col("cuts")))
-    own = [F.col(f"_done.{c}" if c == "text" else f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    return done.select(*own, "_done.n_sentences", "_done.n_removed")
+    done = rows.join(cuts, ["doc_id", "part"], "left").withColumn("done", udf(text, F.col("cuts")))
+    out = [(F.col("done.text") if i == place(docs, "text") else F.col(f"_{i}"), c) for i, c in enumerate(docs.columns) if c.lower() not in ("n_sentences", "n_removed")]
+    return done.select(*(c for c, _ in out), "done.n_sentences", "done.n_removed").toDF(*(c for _, c in out), "n_sentences", "n_removed")

@@ -13,9 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from meshlake.llm import bpe
+from meshlake.llm.columns import only
 from meshlake.llm.textarrays import slices
 
 
@@ -29,7 +29,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, ids.astype(np.int32))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -41,7 +41,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             ids = [np.array(x if x is not None else [], np.uint32) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.decode(x).decode("utf-8", "replace") for x in ids], pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")
+    return only(encoded, doc_id="long", ids="array<int>").mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -60,7 +60,7 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
             of_texts = [hashlib.sha256(replaced(decoded[a:b])).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def replaced(data: bytes) -> bytes:
@@ -80,4 +80,4 @@ def count(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
             size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -6,9 +6,12 @@ was common enough in training, and of vectors of its byte n-grams of 3 and 4, so
 Labels are of documents: each training step takes the worst window of a document (at first by the words' log-odds,
 later by the network itself) as the one that its label speaks of.
 
-Training reads a sample of at most about ``per_label`` documents without and with the label, chosen by a hash of doc_id. Rows with a
-null text, label or doc_id aren't learned from. Null and empty texts are one empty window, whose score is that of
-the network without words. Scores depend on the text alone, so repeated rows get equal ones.
+Training reads a sample of at most about ``per_label`` documents without and with the label and about ``most_bytes`` of text in
+all, chosen by a hash of doc_id; texts over a tenth of ``most_bytes`` aren't learned from. Rows with a null text, label or doc_id aren't
+learned from, nor labels other than 0 and 1; with several labels of one doc_id each counts. Null and empty texts are one empty window, whose score is that of
+the network without words. Long texts are scored whole, in all their windows. Scores depend on the text alone, so repeated rows get
+equal ones; of windows that tie the first counts. An empty table gives an empty result, no labels at all scores of 0. Other columns are returned as
+they are, whatever their names; those named score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlake.llm.columns import column, numbered, only
 from meshlake.llm.textarrays import Texts, _symbols, as_texts, mix, slices, span_hashes
 
 WIDTH, HIDDEN, ATTENTION = 8, 12, 8
@@ -312,14 +316,18 @@ def subset(words: Words, used: np.ndarray) -> Words:
     return Words(words.hashes[used], words.grams[rows], np.concatenate([[0], np.cumsum(n)]), np.zeros(0, np.int32), np.zeros(1, np.int64))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = (2000, 1000)) -> Network | None:
+def train(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = (2000, 1000), most_bytes: int = 32_000_000) -> Network | None:
     """Fit a network on documents joined with their labels (doc_id, toxic 0 or 1); None if there are none."""
-    marked = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
+    marked = only(labels, doc_id="long", toxic="int").where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
-    rate = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(1.0, per_label[k] / max(counts.get(k, 0), 1))))])
-    sample = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) / 1_000_000 < rate[F.col("toxic")])
+    rates = {k: min(1.0, per_label[k] / max(counts.get(k, 0), 1)) for k in (0, 1)}
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) / 1_000_000
+    rate = F.create_map(*[x for k, v in rates.items() for x in (F.lit(k), F.lit(v))])[F.col("toxic")]
     # the sample's size is bounded by per_label, so it goes to the documents
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").toArrow()
+    sample = F.broadcast(marked.where(chance < rate))
+    texts = only(docs, doc_id="long", text="string").where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes // 10)).join(sample, "doc_id")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = texts.where(chance < rate * min(1.0, most_bytes / max(size, 1))).select("doc_id", "text", "toxic").toArrow()
     if not found.num_rows:
         return None
     found = found.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
@@ -342,6 +350,6 @@ def score(docs: DataFrame, net: Network | None, window: int = 64, stride: int =
         return pa.array(np.concatenate(found), pa.float64())
 
     udf = F.arrow_udf(judge, "double")
-    own = [c for c in docs.columns if c not in ("score", "predicted")]
-    scored = docs.select(*own, udf(F.col("text").cast("string")).alias("score"))
-    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    own = [(F.col(f"_{i}"), c) for i, c in enumerate(docs.columns) if c.lower() not in ("score", "predicted")]
+    scored = numbered(docs).select(*(c for c, _ in own), udf(column(docs, "text").cast("string")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)).toDF(*(c for _, c in own), "score", "predicted")

@@ -111,34 +111,33 @@ def test_small_sets_get_whole_signatures():
     assert (signature[0] == 5).all() and (signature[1] == values[1]).all()
 
 
-def brute_spans(rows, least):
-    """The rule in plain Python: sentences as lists of words, spans, and what later occurrences cover."""
-    split, seen, gone = {}, {}, {}
-    for i, text in sorted(rows.items()):
+def brute_spans(rows, run):
+    """The rule in plain Python for rows (doc_id, text) in order: sentences as lists of words, spans, and what later occurrences cover."""
+    out, seen = [], {}
+    for i, text in rows:
         words = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
-        sentence, current = [], []
+        sentence, current, gone = [], [], set()
         for k, m in enumerate(words):
             current.append(m)
             if m[0][-1] in ".!?" or k + 1 == len(words) or "\n" in text[m.end() : words[k + 1].start()]:
                 sentence.append(current)
                 current = []
-        split[i], gone[i] = sentence, set()
         for s in range(len(sentence)):
-            n, e = 0, s
-            while e < len(sentence) and n < least:
-                n += len(sentence[e])
-                e += 1
-            if n >= least:
+            e = min(s + run, len(sentence))
+            if e - s == run or s == 0:
                 key = tuple(re.sub("[A-Z]", lambda c: c[0].lower(), m[0]) for part in sentence[s:e] for m in part)
-                if seen.setdefault(key, (i, s)) != (i, s):
-                    gone[i] |= set(range(s, e))
-    out = {}
-    for i, text in rows.items():
-        starts = [s[0].start() for s in split[i]] + [len(text or "")]
-        out[i] = (len(split[i]), len(gone[i]), text if not gone[i] else text[: starts[0]] + "".join(text[starts[k] : starts[k + 1]] for k in range(len(split[i])) if k not in gone[i]))
+                if seen.setdefault(key, (i, text, s)) != (i, text, s):
+                    gone |= set(range(s, e))
+        starts = [s[0].start() for s in sentence] + [len(text or "")]
+        left = text if not gone else text[: starts[0]] + "".join(text[starts[k] : starts[k + 1]] for k in range(len(sentence)) if k not in gone)
+        out.append((i, len(sentence), len(gone), left))
     return out
 
 
+def by_id(rows):
+    return sorted(rows, key=lambda x: (-1 if x[0] is None else x[0], x[-1] or ""))
+
+
 def test_spans_equal_brute_force(spark):
     passage = "Alpha beta gamma delta. Epsilon zeta eta! Theta iota kappa lambda mu.\nNu xi omicron pi rho sigma? "
     r = random.Random(5)
@@ -146,34 +145,27 @@ def test_spans_equal_brute_force(spark):
     for i in range(30, 50):
         a, b = prose(i, "de", 20), prose(i + 900, "en", 25)
         rows[i] = a + " " + (passage if r.random() < 0.7 else passage.lower()) + b
-    rows |= {60: None, 61: "", 62: passage * 3, 63: rows[3], 64: rows[3], 65: " \n ", 66: "no stop at all " * 2000}
-    docs = spark.createDataFrame([(i, t, 7, "z") for i, t in rows.items()] + [(None, passage, 7, "z"), (64, rows[64], 7, "z")], "doc_id long, text string, n_removed int, cuts string").repartition(3)
-    want = brute_spans(rows, 12)
-    found = spans.remove_repeats(docs, 12).collect()
-    assert len(found) == len(rows) + 2
-    for x in found:
-        if x.doc_id is None:
-            assert x.text == passage and x.n_removed == 0
-        else:
-            assert (x.n_sentences, x.n_removed, x.text) == want[x.doc_id], x.doc_id
-        assert x.cuts == "z"
-    assert want[63][1] == want[63][0] and want[62][1] > 0
+    rows |= {60: None, 61: "", 62: passage * 3, 63: rows[3], 64: rows[3], 65: " \n ", 66: "no stop at all " * 2000, 67: "Few words.", 68: "few  WORDS.", 69: "Few words. More"}
+    rows |= {70 + i: passage[:45] for i in range(3)}
+    want = brute_spans(sorted(rows.items()), 3)
+    table = [*rows.items(), (64, rows[64])]  # a repeated row
+    docs = spark.createDataFrame([(i, t, 7, "z", 1) for i, t in table] + [(None, passage, 7, "z", 1)], "doc_id long, text string, n_removed int, cuts string, `a.b` int").repartition(3)
+    cleaned = spans.remove_repeats(docs)
+    assert cleaned.columns == ["doc_id", "text", "cuts", "a.b", "n_sentences", "n_removed"]
+    found = by_id((x.doc_id, x.n_sentences, x.n_removed, x.text) for x in cleaned.collect())
+    assert found == by_id([*want, next(x for x in want if x[0] == 64), (None, 4, 0, passage)])
+    assert {x[0]: x[1:3] for x in want}[64] == ({x[0]: x[1] for x in want}[64],) * 2
     assert spans.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_spans_take_the_end_of_a_passage_and_short_texts(spark):
-    def sentence(n, tag):
-        return " ".join(f"{tag}{k}" for k in range(n)) + ". "
-
-    passage = sentence(12, "a") + sentence(12, "b") + sentence(5, "c")
-    rows = [(1, sentence(30, "x") + passage + sentence(30, "y")), (2, sentence(25, "z") + passage + sentence(21, "u")), (3, passage), (4, "Just a few words."), (5, "just a  FEW words."), (6, "Just a few words. More")]
-    rows += [(7, sentence(8, "v") + sentence(8, "w")), (8, sentence(8, "v") + sentence(8, "w")), (9, "")]
-    found = {x.doc_id: (x.n_sentences, x.n_removed, x.text) for x in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
-    assert found[1] == (5, 0, rows[0][1])
-    assert found[2] == (5, 3, sentence(25, "z") + sentence(21, "u"))
-    assert found[3] == (3, 3, "")
-    assert (found[4][1], found[5], found[6][1]) == (0, (1, 1, ""), 0)
-    assert (found[7][1], found[8], found[9]) == (0, (2, 2, ""), (0, 0, ""))
+def test_spans_take_rows_and_not_ids(spark):
+    p, other = prose(1, "en", 200), prose(2, "de", 200)
+    rows = [(1, p), (2, p + " " + prose(3, "en", 100)), (2, other), (2, other), (3, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = by_id((x.doc_id, x.n_removed > 0, x.text) for x in spans.remove_repeats(docs).collect())
+    assert [x for x in found if x[0] == 1] == [(1, False, p)]
+    assert [x for x in found if x[0] == 2 and not x[1]] == [(2, False, other)] * 2
+    assert [x[2] for x in found if x[0] == 3] == [""] and sum(x[1] for x in found) == 2
 
 
 def vectors(n, seed, dims=16):

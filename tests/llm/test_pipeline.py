@@ -26,6 +26,23 @@ def test_stages_keep_clean_documents_and_drop_the_others(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(left["substring_dedup"])
 
 
+def test_stages_take_nulls_empty_tables_and_awkward_columns(spark, tmp_path):
+    rows = [(i if i else None, prose(i, ("en", "de")[i % 2], 60 + i), ("en", "de")[i % 2], 1, 0.5, None, 5) for i in range(60)]
+    rows += [(5, rows[5][1], "de", 1, 0.5, None, 5), (7, prose(99, "en", 80), "en", 1, 0.5, None, 5), (8, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `a.b` int, Score double, `match` string, n_chars int").repartition(2)
+    spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(1, 60)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = corpus_pipeline.keep(stage(spark, docs, str(tmp_path)))
+        assert left.columns == docs.columns and left.schema["n_chars"].dataType.simpleString() == "int"
+        ids = [r[0] for r in left.collect()]
+        assert None in ids or name == "toxicity"
+        assert name != "minhash_near_dedup" or (ids.count(5), ids.count(7), ids.count(8)) == (1, 2, 2)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.where("length > 0").count() == len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_queries_are_registered():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in registry.QUERIES) == 1
