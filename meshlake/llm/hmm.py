@@ -4,16 +4,18 @@ Tokens are words [^\x20\x09-\x0D]+ with A-Z lower-cased, and one end behind each
 class (a hash of the word's last four bytes: a class of its own for most short words; the end has its own), and
 the class emits the word in proportion to its training count, with unseen words sharing one place in each class. So the
 model's parameters are bounded while every word's count of the whole corpus enters the score. Transitions and class
-emissions are trained by Baum-Welch: starting values come from a documented sample of at most about ``sample``
-documents, then each full pass sums the expected counts of all training documents over the partitions. Scaled forward
-recursion gives the exact likelihood of each document's whole sequence.
+emissions are trained by Baum-Welch from starting values drawn around the corpus counts of the classes: the expected counts of all
+partitions are summed, in ``rounds`` passes over one of ``rounds`` parts of the training documents each (every document
+in one of them), then in passes over all of them until the likelihood gains less than ``tolerance`` (natural
+logarithm for each token). Scaled forward recursion gives the exact likelihood of each document's whole sequence.
 
 A first pass cuts the corpus into chunks of bounded size, each with its own vocabulary; word counts are summed over all
-chunks by hash buckets, and each chunk gets back the counts of its own words. No table of all words exists anywhere.
+chunks by hash, and each chunk gets back the counts of its own words. No table of all words exists in one place.
 Words count as equal if their 64-bit hashes are.
 
 Null and empty texts are the end alone. Rows whose ``learn`` is false or null are scored only. Repeated rows count as often
-as they occur. An empty table gives an empty result; without training documents all counts are 0.
+as they occur and get equal scores; a null doc_id stays null. A long text is one sequence, in a chunk of its own if need be. Columns besides
+doc_id, text and learn are ignored, whatever their names. An empty table gives an empty result; without training documents all counts are 0.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlake.llm.scratch import keep
+from meshlake.llm.columns import only
+from meshlake.llm.scratch import forget, keep
 from meshlake.llm.textarrays import Texts, _symbols, as_texts, mix, slices, span_hashes
 
 CLASS_BITS = 12
@@ -71,15 +74,13 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-CHUNKS = "chunk string, doc_ids array<long>, learn binary, first binary, ids binary, classes binary, buckets binary, hashes binary, counts binary"
+CHUNKS = "doc_ids array<long>, learn binary, first binary, ids binary, classes binary, hashes array<long>, kinds array<short>, counts array<long>"
 
 
-def chunks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of a chunk: its documents as numbers of its own words, and for its words (by bucket, then hash) class and training count."""
+def chunks(docs: DataFrame) -> DataFrame:
+    """Rows of a chunk: its documents as numbers of its own words, and for its words (by hash) class and training count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         held: list[tuple] = []
         size = 0
 
@@ -90,21 +91,17 @@ def chunks(docs: DataFrame, buckets: int) -> DataFrame:
             doc_ids = pa.concat_arrays([x[0] for x in held])
             learn = np.concatenate([x[1] for x in held])
             words, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            bucket = (mix(words) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(words), np.int64)
-            rank[order] = np.arange(len(words))
             counts = np.bincount(inverse, weights=np.repeat(learn, lengths), minlength=len(words)).astype(np.int64)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             row = {
-                "chunk": pa.array([uuid.uuid4().hex]),
-                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids),
+                "doc_ids": one(doc_ids),
                 "learn": pa.array([learn.astype(np.uint8).tobytes()]),
                 "first": pa.array([np.concatenate([[0], np.cumsum(lengths)]).astype("<i8").tobytes()]),
-                "ids": pa.array([planes(rank[inverse])]),
-                "classes": pa.array([classes[at][order].astype("<u2").tobytes()]),
-                "buckets": pa.array([np.bincount(bucket, minlength=buckets).astype("<i4").tobytes()]),
-                "hashes": pa.array([words[order].astype("<u8").tobytes()]),
-                "counts": pa.array([counts[order].astype("<i8").tobytes()]),
+                "ids": pa.array([planes(inverse)]),
+                "classes": pa.array([classes[at].astype("<u2").tobytes()]),
+                "hashes": one(pa.array(words.view(np.int64))),
+                "kinds": one(pa.array(classes[at].astype(np.int16))),
+                "counts": one(pa.array(counts)),
             }
             return pa.RecordBatch.from_arrays(list(row.values()), list(row))
 
@@ -119,62 +116,19 @@ def chunks(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("learn").cast("boolean")).mapInArrow(run, CHUNKS)
+    return only(docs, doc_id="long", text="string", learn="boolean").mapInArrow(run, CHUNKS)
 
 
-def summed(table: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, bucket, counts): each chunk's words of a bucket with their counts in the whole corpus; and of each bucket, once, (class, n, v): training tokens and distinct training words of each class."""
+def totals(table: DataFrame) -> DataFrame:
+    """hash, class and n (training count in the whole corpus) of every training word; each task adds up its chunks' counts before the shuffle."""
+    words = table.select(F.explode(F.arrays_zip("hashes", "kinds", "counts")).alias("w")).select(F.col("w.hashes").alias("hash"), F.col("w.kinds").alias("class"), F.col("w.counts").alias("n"))
+    return words.where("n > 0").groupBy("hash").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                at = np.concatenate([[0], np.cumsum(np.frombuffer(batch.column("buckets")[i].as_py(), "<i4"))]).tolist()
-                parts = {k: batch.column(k)[i].as_py() for k in ("hashes", "classes", "counts")}
-                full = [b for b in range(buckets) if at[b + 1] > at[b]]
-                columns = [pa.array(full, pa.int32()), pa.array([batch.column("chunk")[i].as_py()] * len(full), pa.string())]
-                columns += [pa.array([parts[k][w * at[b] : w * at[b + 1]] for b in full], pa.binary()) for k, w in (("hashes", 8), ("classes", 2), ("counts", 8))]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "hashes", "classes", "counts"])
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(x) // 8 for x in group["hashes"]]
-        hashes = np.frombuffer(b"".join(group["hashes"]), "<u8")
-        words, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        counts = np.zeros(len(words), np.int64)
-        np.add.at(counts, inverse, np.frombuffer(b"".join(group["counts"]), "<i8"))
-        classes = np.frombuffer(b"".join(group["classes"]), "<u2")[at]
-        ends = np.cumsum(sizes)
-        whole = counts[inverse]
-        out = pd.DataFrame({"chunk": group["chunk"], "bucket": group["bucket"], "counts": [whole[b - n : b].astype("<i8").tobytes() for n, b in zip(sizes, ends.tolist(), strict=True)]})
-        n = np.bincount(classes, weights=counts, minlength=CLASSES)
-        v = np.bincount(classes, weights=counts > 0, minlength=CLASSES)
-        used = np.flatnonzero(n)
-        out["class"], out["n"], out["v"] = None, None, None
-        out = out.astype(object)
-        out.at[out.index[0], "class"], out.at[out.index[0], "n"], out.at[out.index[0], "v"] = used.tolist(), n[used].astype(np.int64).tolist(), v[used].astype(np.int64).tolist()
-        return out
-
-    rows = table.select("chunk", "buckets", "hashes", "classes", "counts").mapInArrow(split, "bucket int, chunk string, hashes binary, classes binary, counts binary")
-    return rows.groupBy("bucket").applyInPandas(merge, "chunk string, bucket int, counts binary, class array<int>, n array<long>, v array<long>")
-
-
-def class_totals(counts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens and distinct training words of each class: the buckets' totals are added in about as many groups as each has buckets, and the groups' here."""
-    groups = math.isqrt(buckets - 1) + 1
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for c, a, b in zip(rows["class"], rows["n"], rows["v"], strict=True):
-            n[np.asarray(c, np.int64)] += np.asarray(a, np.int64)
-            v[np.asarray(c, np.int64)] += np.asarray(b, np.int64)
-        return pd.DataFrame({"n": [n.tobytes()], "v": [v.tobytes()]})
-
-    some = counts.where("class IS NOT NULL").select((F.col("bucket") % groups).alias("g"), "class", "n", "v")
-    found = some.groupBy("g").applyInPandas(add, "n binary, v binary").toArrow()
-    total = [np.zeros(CLASSES), np.zeros(CLASSES)]
-    for out, column in zip(total, ("n", "v"), strict=True):
-        for x in found[column].to_pylist():
-            out += np.frombuffer(x, np.int64)
-    return total[0], total[1]
+
+def given_back(table: DataFrame, counted: DataFrame) -> DataFrame:
+    """chunk, at and n: which of the chunk's words have a training count, and how much it is."""
+    words = table.select("chunk", F.posexplode("hashes").alias("at", "hash"))
+    return words.join(counted.select("hash", "n"), "hash").groupBy("chunk").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
 
 
 # --- the model
@@ -231,9 +185,9 @@ class Lockstep:
         out[self.order] = total
         return out, states, scales
 
-    def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts: of starts, moves, and emissions."""
-        _, states, scales = self.forward(model, keep=True)
+    def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Baum-Welch counts of starts, moves and emissions, and the logarithmic likelihood of all sequences."""
+        likelihood, states, scales = self.forward(model, keep=True)
         k_states = len(model.start)
         moves = np.zeros((k_states, k_states))
         later = np.zeros((0, k_states))
@@ -249,7 +203,7 @@ class Lockstep:
         moves *= model.move
         starts = states[: self.active[0]].sum(0) if len(self.active) else np.zeros(k_states)
         emissions = np.stack([np.bincount(self.classes, weights=states[:, s], minlength=CLASSES) for s in range(k_states)], 1)
-        return starts, moves, emissions
+        return starts, moves, emissions, float(likelihood.sum())
 
 
 def maximized(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray) -> Model:
@@ -258,23 +212,13 @@ def maximized(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray) -> M
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def first_model(sequences: list[np.ndarray], states: int, rounds: int, seed: int = 5) -> Model:
-    """Starting values: Baum-Welch on a sample, from sticky states that each begin with the classes of random documents."""
+def first_model(n_class: np.ndarray, states: int, seed: int = 5) -> Model:
+    """Starting values of fixed size: sticky states whose emissions vary at random around the classes' training counts."""
     r = np.random.default_rng(seed)
-    counts = np.full((CLASSES, states), 0.0)
-    overall = np.bincount(np.concatenate(sequences), minlength=CLASSES) + 0.5 if sequences else np.ones(CLASSES)
-    for i in r.permutation(len(sequences))[: 12 * states].tolist():
-        counts[:, i % states] += np.bincount(sequences[i], minlength=CLASSES)
-    counts += overall[:, None] / overall.sum() * np.maximum(counts.sum(0), 1) * 0.5
+    emit = (n_class + 0.5)[:, None] * np.exp(r.standard_normal((CLASSES, states)))
     move = np.full((states, states), 0.1 / max(states - 1, 1))
-    np.fill_diagonal(move, 0.9)
-    model = Model(np.full(states, 1 / states), move, counts / counts.sum(0))
-    if sequences:
-        first = np.concatenate([[0], np.cumsum([len(s) for s in sequences])])
-        side_by_side = Lockstep(np.concatenate(sequences), first)
-        for _ in range(rounds):
-            model = maximized(*side_by_side.expected(model))
-    return model
+    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
+    return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
 # --- passes over the chunks
@@ -286,70 +230,85 @@ def sequences(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return ids, np.frombuffer(row["classes"], "<u2")[ids], np.frombuffer(row["first"], "<i8"), np.frombuffer(row["learn"], np.uint8).astype(bool)
 
 
-def sampled(table: DataFrame, share: float) -> list[np.ndarray]:
-    """The class sequences of about that share of the training documents, chosen by a hash of doc_id."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, classes, first, learn = sequences(row)
-                doc_ids = np.array([x if x is not None else 0 for x in row["doc_ids"]], np.int64)
-                chance = (mix(doc_ids.view(np.uint64) + np.uint64(99)) >> np.uint64(11)).astype(float) / 2.0**53
-                for i in np.flatnonzero(learn & (chance < share)).tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array([int(doc_ids[i])]), pa.array([classes[first[i] : first[i + 1]].tobytes()])], ["doc_id", "classes"])
-
-    found = table.select("doc_ids", "learn", "first", "ids", "classes").mapInArrow(pick, "doc_id long, classes binary").toArrow()
-    rows = sorted(zip(found["doc_id"].to_pylist(), found["classes"].to_pylist(), strict=True))
-    return [np.frombuffer(c, "<u2").astype(np.int64) for _, c in rows]
-
-
-def full_pass(table: DataFrame, model: Model) -> Model:
-    """One Baum-Welch step over all training documents; the counts of all partitions meet in a sum by cell."""
+def one_pass(table: DataFrame, model: Model, part: int = 0, parts: int = 1) -> tuple[Model, float, float]:
+    """One Baum-Welch step over the training documents (of one of some parts): the next model, and this one's logarithmic likelihood and tokens; the counts of all partitions meet in a sum by cell."""
     shared = table.sparkSession.sparkContext.broadcast(model)  # of fixed size
     k = len(model.start)
+    sizes = k + k * k + CLASSES * k
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, total = shared.value, np.zeros(k + k * k + CLASSES * k)
+        model, total = shared.value, np.zeros(sizes + 2)
         for batch in batches:
             for row in batch.to_pylist():
                 _, classes, first, learn = sequences(row)
-                if learn.any():
-                    at = np.flatnonzero(learn)
+                number = np.arange(len(learn), dtype=np.uint64) + np.uint64((row["chunk"] * 0x9E3779B97F4A7C15) % 2**64)
+                at = np.flatnonzero(learn & (mix(number) % np.uint64(parts) == part))
+                if len(at):
                     n = np.diff(first)[at]
                     new = np.concatenate([[0], np.cumsum(n)])
                     rows = np.repeat(first[at] - new[:-1], n) + np.arange(new[-1])
-                    total += np.concatenate([x.reshape(-1) for x in Lockstep(classes[rows], new).expected(model)])
+                    starts, moves, emissions, likelihood = Lockstep(classes[rows], new).expected(model)
+                    total += np.concatenate([starts, moves.reshape(-1), emissions.reshape(-1), [likelihood, new[-1]]])
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
-    counted = table.select("doc_ids", "learn", "first", "ids", "classes").mapInArrow(count, "cell long, n double")
+    counted = table.select("chunk", "learn", "first", "ids", "classes").mapInArrow(count, "cell long, n double")
     found = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # a row for each parameter at most
-    total = np.zeros(k + k * k + CLASSES * k)
+    total = np.zeros(sizes + 2)
     total[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return maximized(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k :].reshape(CLASSES, k))
-
-
-def score(docs: DataFrame, states: int = 8, sample: int = 1500, rounds: int = 8, passes: int = 1) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score and learn for every row of docs (doc_id, text, learn)."""
-    spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = keep(chunks(docs, buckets))
-    counts = keep(summed(table, buckets))
-    n_class, v_class = class_totals(counts, buckets)
-    n_all, v_all, trained = int(n_class.sum()), int(v_class.sum()), int(n_class[END_CLASS])
-    model = first_model(sampled(table, min(1.0, sample / max(trained, 1))), states, rounds)
-    for _ in range(passes):
-        model = full_pass(table, model)
-    shared = spark.sparkContext.broadcast((model, n_class, v_class))  # of fixed size
+    if not total[-1]:
+        return model, 0.0, 0.0
+    return maximized(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k : sizes].reshape(CLASSES, k)), float(total[-2]), float(total[-1])
+
+
+def trained(table: DataFrame, n_class: np.ndarray, states: int, rounds: int, tolerance: float) -> Model:
+    """The model after ``rounds`` parts of the training documents, and then all of them until their likelihood settles."""
+    model, before = first_model(n_class, states), -math.inf
+    for part in range(rounds):
+        model, _, _ = one_pass(table, model, part, rounds)
+    while True:  # each step gains, so this ends
+        model, likelihood, n = one_pass(table, model)
+        if not n or likelihood / n < before + tolerance:
+            return model
+        before = likelihood / n
+
+
+@dataclass
+class Corpus:
+    """The chunks, the words' training counts given back to them, training tokens and distinct training words of each class, and the model."""
+
+    table: DataFrame
+    counts: DataFrame
+    n_class: np.ndarray
+    v_class: np.ndarray
+    model: Model
+
+
+def learned(docs: DataFrame, states: int = 8, rounds: int = 8, tolerance: float = 0.02) -> Corpus:
+    table = keep(chunks(docs).withColumn("chunk", F.monotonically_increasing_id()))
+    counted = keep(totals(table))
+    found = counted.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()  # a row for each class at most
+    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
+    n_class[found["class"].to_numpy()], v_class[found["class"].to_numpy()] = found["n"].to_numpy(), found["v"].to_numpy()
+    counts = keep(given_back(table, counted))
+    forget(counted)
+    return Corpus(table, counts, n_class, v_class, trained(table, n_class, states, rounds, tolerance))
+
+
+def score(docs: DataFrame, states: int = 8, rounds: int = 8, tolerance: float = 0.02) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text, learn)."""
+    corpus = learned(docs, states, rounds, tolerance)
+    shared = docs.sparkSession.sparkContext.broadcast((corpus.model, corpus.n_class, corpus.v_class))  # of fixed size
+    n_all, v_all = int(corpus.n_class.sum()), int(corpus.v_class.sum())
 
     def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         model, n_class, v_class = shared.value
         row = left.iloc[0].to_dict()
-        ids, classes, first, learn = sequences(row)
+        ids, classes, first, _ = sequences(row)
         word_class = np.frombuffer(row["classes"], "<u2")
-        c = np.frombuffer(b"".join(right.sort_values("bucket")["counts"]), "<i8")
-        if len(c) != len(word_class):
-            raise ValueError("a chunk's words and their counts differ")
+        c = np.zeros(len(word_class), np.int64)
+        for at, n in zip(right["at"], right["n"], strict=True):  # no row if none of its words is known
+            c[np.asarray(at)] = np.asarray(n)
         base = np.log10((c + SMOOTH) / (n_all + SMOOTH * (v_all + 1)))
         within = np.log10((c + SMOOTH) / (n_class[word_class] + SMOOTH * (v_class[word_class] + 1)))
         at = first[:-1]
@@ -366,5 +325,5 @@ def score(docs: DataFrame, states: int = 8, sample: int = 1500, rounds: int = 8,
         )
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    parts = table.select("chunk", "doc_ids", "learn", "first", "ids", "classes").groupBy("chunk")
-    return parts.cogroup(counts.select("chunk", "bucket", "counts").groupBy("chunk")).applyInPandas(judge, schema)
+    parts = corpus.table.select("chunk", "doc_ids", "learn", "first", "ids", "classes").groupBy("chunk")
+    return parts.cogroup(corpus.counts.groupBy("chunk")).applyInPandas(judge, schema)

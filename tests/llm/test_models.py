@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from meshlake.llm import hmm, language, toxicity
+from meshlake.llm.textarrays import as_texts
 from tests.llm.conftest import document_rows, prose
 
 
@@ -101,7 +102,8 @@ def test_forward_equals_plain_recursion_and_training_raises_likelihood():
         for c in classes[a + 1 : b]:
             alpha = (alpha @ model.move) * model.emit[c]
         assert math.isclose(found[i], math.log(alpha.sum()), rel_tol=1e-9)
-    starts, moves, emissions = side_by_side.expected(model)
+    starts, moves, emissions, likelihood = side_by_side.expected(model)
+    assert math.isclose(likelihood, found.sum())
     assert math.isclose(starts.sum(), 4) and math.isclose(moves.sum(), sum(lengths) - 4) and math.isclose(emissions.sum(), sum(lengths))
     better = hmm.maximized(starts, moves, emissions)
     assert side_by_side.forward(better)[0].sum() > found.sum()
@@ -111,7 +113,7 @@ def test_scores_equal_brute_force(spark, documents, no_documents):
     from pyspark.sql import functions as F
 
     docs = documents.withColumn("learn", F.col("doc_id") % 5 != 0)
-    found = hmm.score(docs, states=3, sample=20, rounds=3).collect()
+    found = hmm.score(docs, states=3, rounds=2).collect()
     tokens = [(i, re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\n"]) for i, t, _ in document_rows()]
     counts = Counter(w for i, t in tokens if i is not None and i % 5 != 0 for w in t)
     n, v = sum(counts.values()), len(counts)
@@ -119,7 +121,24 @@ def test_scores_equal_brute_force(spark, documents, no_documents):
     for i, t in tokens:
         want[i, len(t), sum(counts[w] > 0 for w in t), n, round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 5)] += 1
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in found) == want
-    assert all(math.isfinite(r.score) and r.score < 0 for r in found)
+    # the score by plain recursion over states, with each word's share of its class
+    corpus = hmm.learned(docs, states=3, rounds=2)
+    model, each = corpus.model, {}
+    for i, t in tokens:
+        hashes, classes, _ = hmm.tokens(as_texts(pa.array([" ".join(t[:-1])])))
+        alpha, total = model.start, 0.0
+        for k, (w, c) in enumerate(zip(t, classes.tolist(), strict=True)):
+            alpha = (alpha if k == 0 else alpha @ model.move) * model.emit[c]
+            total += math.log10(alpha.sum()) + math.log10((counts[w] + 0.1) / (corpus.n_class[c] + 0.1 * (corpus.v_class[c] + 1)))
+            alpha = alpha / alpha.sum()
+        each[i, len(t)] = total
+    assert all(math.isclose(r.score, each[r.doc_id, r.n_tokens], rel_tol=1e-6) for r in found)
+    # the words of a class share no more than its whole
+    classes = {w: int(c) for w, c in zip(counts, hmm.tokens(as_texts(pa.array([" ".join(w if w != "\n" else "x" for w in counts)])))[1].tolist(), strict=False) if w != "\n"}
+    shares = Counter()
+    for w, c in classes.items():
+        shares[c] += (counts[w] + 0.1) / (corpus.n_class[c] + 0.1 * (corpus.v_class[c] + 1))
+    assert max(shares.values()) < 1 and math.isclose(model.emit.sum(), 3)
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
     assert hmm.score(no_documents.withColumn("learn", F.lit(True))).count() == 0
     unlearned = hmm.score(documents.where("doc_id < 5").withColumn("learn", F.lit(None).cast("boolean"))).collect()
