@@ -1,20 +1,24 @@
 """Approximate nearest neighbours by largest inner product with a hierarchical k-means tree.
 
-The tree is fitted on a sample of at most about ``sample`` vectors, chosen by a hash of vec_id; every vector is then
-put into the leaf that it reaches. A query goes through the tree best bin first: a priority queue holds the nodes seen
-by their centroid's inner product with the query, and each leaf taken from it is visited. How many leaves are visited is
+The tree is fitted on a sample of at most about ``sample`` vectors, chosen by a hash of vec_id: a cluster is split into
+``branching`` ones while it stands for more than ``leaf_rows`` rows of the table, so the tree grows with it; every vector is then put
+into the leaf that it reaches. A query goes through the tree best bin first: a priority queue holds the nodes seen by the inner
+product of the query and their centroid plus a share of their spread, and each leaf taken from it is visited. How many leaves are visited is
 calibrated: exact neighbours of up to ``audit`` queries are found in all rows, and visits widen until the share of them
-in visited leaves reaches ``recall``; visiting all leaves is exact. Leaves are cut into blocks of bounded size, so
-a leaf of copies is no single task.
-
-Null, zero and non-finite vectors take no part, nor vectors of another length than most (the longer one of two
-lengths as frequent). Equal scores go to the smaller vec_id. A row is never its own neighbour: candidates with the query's vec_id are
-left out. With fewer candidates than ``k`` all are returned; an empty table gives an empty result.
+in visited leaves reaches ``recall``; visiting all leaves is exact. A leaf's rows and its queries are both cut into blocks of
+bounded size, so neither a leaf of copies nor one that all queries visit is a single task.
+
+Null, zero and non-finite vectors take no part. Vectors of different lengths have no inner product: those of each length are searched
+among themselves. Equal scores go to the smaller vec_id. A row is never its own neighbour: candidates with the query's vec_id are
+left out. Repeated rows count once; if one vec_id has several vectors, the largest product of any of them with any of the query's
+counts. Rows with a null vec_id take no part. With fewer candidates than ``k`` all are returned; an empty table gives an empty
+result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +32,16 @@ from meshlake.llm.scratch import keep
 from meshlake.llm.vectors import matrix, with_vectors
 
 
+#: How much of a node's spread counts for it, in lengths of the query.
+SPREAD = 0.3
+
+
 @dataclass
 class Tree:
-    """centroids of all nodes; children of each node (empty for a leaf); leaf: the leaf number of each node, or -1."""
+    """centroids of all nodes; spread (root mean square distance from them); children of each node (empty for a leaf); leaf: the leaf number of each node, or -1."""
 
     centroids: np.ndarray
+    spread: np.ndarray
     children: list[list[int]]
     leaf: np.ndarray
 
@@ -59,7 +68,7 @@ class Tree:
     def visits(self, x: np.ndarray, most: int) -> np.ndarray:
         """The first leaves of a best-bin-first walk for each query, in the order visited (-1 where there are no more)."""
         out = np.full((len(x), most), -1, np.int64)
-        near = x @ self.centroids.T
+        near = x @ self.centroids.T + SPREAD * np.sqrt((x**2).sum(1, keepdims=True)) * self.spread
         for i, row in enumerate(near.tolist()):
             queue, n = [(0.0, 0)], 0
             while queue and n < most:
@@ -83,43 +92,48 @@ def lloyd(x: np.ndarray, k: int, r: np.random.Generator, rounds: int = 8) -> np.
     return of
 
 
-def fit(x: np.ndarray, branching: int, depth: int, seed: int = 3) -> Tree:
-    """Split clusters ``depth`` times into up to ``branching``; clusters of equal vectors or fewer than two to a branch stay."""
+def fit(x: np.ndarray, branching: int, stands_for: float, leaf_rows: int, seed: int = 3) -> Tree:
+    """Split clusters into up to ``branching`` while they stand for more than ``leaf_rows`` rows; clusters of equal vectors or fewer than two to a branch stay."""
     r = np.random.default_rng(seed)
-    centroids, children, leaf = [x.mean(0) if len(x) else np.zeros(x.shape[1])], [[]], [-1]
-    todo, leaves = [(0, np.arange(len(x)), 0)], 0
-    while todo:
-        node, rows, level = todo.pop(0)
-        if level < depth and len(rows) >= 2 * branching:
+    centroids, spread, children, leaf = [], [], [], []
+    todo, leaves = [np.arange(len(x))], 0
+
+    def add(rows: np.ndarray) -> int:
+        centroids.append(x[rows].mean(0) if len(rows) else np.zeros(x.shape[1]))
+        spread.append(math.sqrt(((x[rows] - centroids[-1]) ** 2).sum() / max(len(rows), 1)))
+        children.append([])
+        leaf.append(-1)
+        return len(leaf) - 1
+
+    add(todo[0])
+    for node, rows in enumerate(todo):  # grows while it runs
+        if len(rows) * stands_for > leaf_rows and len(rows) >= 2 * branching:
             of = lloyd(x[rows], branching, r)
             parts = [rows[of == i] for i in np.unique(of).tolist()]
             if len(parts) > 1:
-                for part in parts:
-                    children[node].append(len(centroids))
-                    todo.append((len(centroids), part, level + 1))
-                    centroids.append(x[part].mean(0))
-                    children.append([])
-                    leaf.append(-1)
+                todo += parts
+                children[node] = [add(part) for part in parts]
                 continue
         leaf[node] = leaves
         leaves += 1
-    return Tree(np.array(centroids), children, np.array(leaf))
+    return Tree(np.array(centroids), np.array(spread), children, np.array(leaf))
 
 
 def best(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (query number, vec_id, score) of the k best candidates of each query, with equal scores for equal vectors."""
     rows, found, scores = [], [], []
+    most = int(np.unique(ids, return_counts=True)[1].max(initial=1))  # rows of one id
     for lo in range(0, len(queries), 256):
         rough = vectors[lo : lo + 256] @ x.T
         rough[queries[lo : lo + 256, None] == ids[None, :]] = -np.inf
-        n = min(k, len(ids))
+        n = min(k * most, len(ids))
         bound = np.partition(rough, len(ids) - n, axis=1)[:, len(ids) - n]
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(bound), bound, 0)))
         near = (rough >= (bound - slack)[:, None]) & np.isfinite(rough)
         for i in range(len(rough)):
             at = np.flatnonzero(near[i])
             exact = (x[at] * vectors[lo + i]).sum(1)  # summed alike for each row, so copies tie
-            order = np.lexsort((ids[at], -exact))[:k]
+            order = np.lexsort((ids[at], -exact))[: k * most]
             rows.append(np.full(len(order), lo + i))
             found.append(ids[at][order])
             scores.append(exact[order])
@@ -128,20 +142,27 @@ def best(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, vectors: np.ndarra
 
 
 def nearest(
-    embeddings: DataFrame, queries: DataFrame, k: int = 20, branching: int = 8, depth: int = 2, sample: int = 20_000, audit: int = 200, recall: float = 0.96, block: int = 8192
+    embeddings: DataFrame, queries: DataFrame, k: int = 20, branching: int = 8, leaf_rows: int = 1024, sample: int = 20_000, audit: int = 200, recall: float = 0.96, block: int = 8192
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query; both tables have vec_id and embedding."""
-    sizes = with_vectors(embeddings).groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).head()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return embeddings.sparkSession.createDataFrame([], schema)
-    rows = with_vectors(embeddings).where(F.size("vector") == sizes["n"])
-    asked = with_vectors(queries).where(F.size("vector") == sizes["n"]).dropDuplicates(["vec_id"])
-    share = min(1.0, sample / sizes["rows"])
+    rows, asked = with_vectors(embeddings), with_vectors(queries)
+    lengths = {r["n"]: r["rows"] for r in rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).collect()}  # a row for each length
+    found = embeddings.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for length, total in sorted(lengths.items()):
+        mine = [df.where(F.size("vector") == length).distinct() for df in (rows, asked)]
+        found = found.union(search(*mine, length, total, k, branching, leaf_rows, sample, audit, recall, block))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search(rows: DataFrame, asked: DataFrame, length: int, total: int, k: int, branching: int, leaf_rows: int, sample: int, audit: int, recall: float, block: int) -> DataFrame:
+    """query_id, vec_id, score: the k nearest of each query and visited block, for vectors of one length."""
+    spark = rows.sparkSession
+    share = min(1.0, sample / total)
     chosen = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000).toArrow().sort_by("vec_id")
-    tree = fit(np.array(chosen["vector"].to_pylist(), np.float64).reshape(-1, sizes["n"]), branching, depth)
-    context = embeddings.sparkSession.sparkContext
-    shared = context.broadcast(tree)  # at most branching ** depth leaves
+    tree = fit(np.array(chosen["vector"].to_pylist(), np.float64).reshape(-1, length), branching, total / max(chosen.num_rows, 1), leaf_rows)
+    shared = spark.sparkContext.broadcast(tree)  # no more nodes than vectors in the sample
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,30 +171,36 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(shared.value.put(x))], ["vec_id", "vector", "leaf"])
 
     held = keep(rows.mapInArrow(put, "vec_id long, vector array<double>, leaf long"))
-    per_leaf = {r["leaf"]: r["n"] for r in held.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
-    blocks = {leaf: -(-n // block) for leaf, n in per_leaf.items()}
     visits = calibrated(held, asked, tree, k, audit, recall)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column("vector").to_pylist(), np.float64)
-            if not len(x):
-                continue
-            order = shared.value.visits(x, visits)
-            row, column = np.nonzero(order >= 0)
-            leaf = order[row, column]
-            n = np.array([blocks.get(i, 0) for i in range(shared.value.leaves)])[leaf]
-            row, leaf, part = np.repeat(row, n), np.repeat(leaf, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            # the queries of one leaf and block in one row
-            key = leaf * (int(n.max(initial=0)) + 1) + part
-            by = np.argsort(key, kind="stable")
-            ids = batch.column("vec_id").to_numpy()
-            cut = np.flatnonzero(np.diff(key[by])) + 1
-            groups = np.split(by, cut) if len(by) else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(leaf[g[0]]) for g in groups], pa.int64()), pa.array([int(part[g[0]]) for g in groups], pa.int64()), pa.array([ids[row[g]].tobytes() for g in groups], pa.binary()), pa.array([x[row[g]].tobytes() for g in groups], pa.binary())],
-                ["leaf", "part", "ids", "vectors"],
-            )
+            if len(x):
+                order = shared.value.visits(x, visits)
+                leaves = [row[row >= 0] for row in order]
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(leaves, pa.list_(pa.int64()))], ["vec_id", "vector", "leaves"])
+
+    walks = keep(asked.mapInArrow(walk, "vec_id long, vector array<double>, leaves array<long>"))
+    # how many blocks of rows and of queries each leaf has: a row for each leaf
+    per_leaf = held.groupBy("leaf").agg(F.ceil(F.count("*") / block).alias("parts"))
+    visited = walks.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / block).alias("sides"))
+    blocks = {r["leaf"]: (r["parts"], r["sides"]) for r in per_leaf.join(visited, "leaf").collect()}
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries of one leaf and block in one row."""
+        for batch in batches:
+            ids, raw = batch.column("vec_id").to_numpy(), np.array(batch.column("vector").to_pylist(), np.float64)
+            groups: dict[tuple, list[int]] = {}
+            for i, leaves in enumerate(batch.column("leaves").to_pylist()):
+                for leaf in leaves:
+                    parts, sides = blocks.get(leaf, (0, 0))
+                    for part in range(parts):
+                        groups.setdefault((leaf, part, int(ids[i]) % sides), []).append(i)
+            keys = list(groups)
+            columns = [pa.array([key[j] for key in keys], pa.int64()) for j in range(3)]
+            columns += [pa.array([of[groups[key]].tobytes() for key in keys], pa.binary()) for of in (ids, raw)]
+            yield pa.RecordBatch.from_arrays(columns, ["leaf", "part", "side", "ids", "vectors"])
 
     def scan(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         queries = np.frombuffer(b"".join(asked["ids"]), np.int64)
@@ -183,12 +210,11 @@ def nearest(
         row, found, score = best(candidates["vec_id"].to_numpy(), x, queries, np.frombuffer(b"".join(asked["vectors"]), np.float64).reshape(len(queries), -1), k)
         return pd.DataFrame({"query_id": queries[row], "vec_id": found, "score": score})
 
-    split = F.create_map(*[x for leaf, n in blocks.items() for x in (F.lit(leaf).cast("long"), F.lit(n))])
-    candidates = held.withColumn("part", F.pmod(F.xxhash64("vec_id"), split[F.col("leaf")]).cast("long")).groupBy("leaf", "part")
-    walks = asked.mapInArrow(walk, "leaf long, part long, ids binary, vectors binary").groupBy("leaf", "part")
-    found = candidates.cogroup(walks).applyInPandas(scan, "query_id long, vec_id long, score double").distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    split = F.broadcast(spark.createDataFrame([(leaf, *n) for leaf, n in blocks.items()], "leaf long, parts long, sides long"))  # a row for each leaf
+    dealt = held.join(split, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts")).withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
+    key = ["leaf", "part", "side"]
+    sides = walks.mapInArrow(asking, "leaf long, part long, side long, ids binary, vectors binary").groupBy(*key)
+    return dealt.select(*key, "vec_id", "vector").groupBy(*key).cogroup(sides).applyInPandas(scan, "query_id long, vec_id long, score double")
 
 
 def calibrated(held: DataFrame, asked: DataFrame, tree: Tree, k: int, audit: int, recall: float) -> int:
@@ -205,7 +231,7 @@ def calibrated(held: DataFrame, asked: DataFrame, tree: Tree, k: int, audit: int
             if batch.num_rows:
                 ids = batch.column("vec_id").to_numpy()
                 row, found, score = best(ids, np.array(batch.column("vector").to_pylist(), np.float64), queries, x, k)
-                leaf = dict(zip(ids.tolist(), batch.column("leaf").to_pylist(), strict=True))
+                leaf = dict(zip(ids.tolist(), batch.column("leaf").to_pylist(), strict=True))  # of rows with one id, that of the last
                 yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(found), pa.array(score), pa.array([leaf[i] for i in found.tolist()], pa.int64())], ["query", "vec_id", "score", "leaf"])
 
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlake.llm.columns import column, numbered
+
 
 def usable(column: str) -> Column:
     """True for vectors that are not null, not zero, and without null or non-finite components."""
@@ -17,7 +19,7 @@ def usable(column: str) -> Column:
 
 def with_vectors(df: DataFrame, *more: str) -> DataFrame:
     """vec_id, vector (array<double>) and further columns of the usable rows."""
-    rows = df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"), *more)
+    rows = numbered(df).select(column(df, "vec_id").cast("long").alias("vec_id"), column(df, "embedding").cast("array<double>").alias("vector"), *(column(df, c).alias(c) for c in more))
     return rows.where("vec_id IS NOT NULL").where(usable("vector"))
 
 

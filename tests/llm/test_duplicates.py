@@ -213,7 +213,7 @@ def test_tree_search(spark):
     x = vectors(900, 8)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [r[:2] for r in BAD[:6]]
     data = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    found = kmeans_tree.nearest(data, data.where("vec_id % 20 = 0"), k=10, block=100).collect()
+    found = kmeans_tree.nearest(data, data.where("vec_id % 20 = 0"), k=10, leaf_rows=40, block=30).where("query_id < 9000").collect()
     got = {}
     for r in found:
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -230,3 +230,37 @@ def test_tree_search(spark):
     few = data.where("vec_id < 3")
     assert kmeans_tree.nearest(few, few.where("vec_id = 0"), k=20).count() == 2
     assert kmeans_tree.nearest(few.limit(0), few.limit(0)).count() == 0
+
+
+def test_tree_takes_lengths_and_repeats(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, r.standard_normal(8).tolist()) for i in range(60)] + [(i, r.standard_normal(5).tolist()) for i in range(60, 90)]
+    rows += [rows[3], (20, r.standard_normal(8).tolist()), (None, rows[0][1])]
+    data = spark.createDataFrame([(*x, 1, "q") for x in rows], "vec_id long, embedding array<double>, `a.b` int, Vec_Id string")
+    found = kmeans_tree.nearest(data, data.where("`a.b` = 1"), k=4).collect()
+    got = {}
+    for x in found:
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, round(x.score, 9)))
+    vectors_of = {}
+    for i, v in rows:
+        if i is not None:
+            vectors_of.setdefault(i, []).append(np.array(v))
+    for q, of in vectors_of.items():
+        score = {i: max(float(a @ b) for a in of for b in v if len(a) == len(b)) for i, v in vectors_of.items() if i != q and len(v[0]) == len(of[0])}
+        want = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:4]
+        assert sorted(got[q]) == [(k + 1, i, round(s, 9)) for k, (i, s) in enumerate(want)], q
+
+
+def test_tree_visits_little_of_clustered_data():
+    r = np.random.default_rng(4)
+    centres = 4 * r.standard_normal((60, 24))
+    x = np.concatenate([c + r.standard_normal((80, 24)) for c in centres])
+    tree = kmeans_tree.fit(x, 8, 1.0, 100)
+    leaf, visits = tree.put(x), 4
+    seen = tree.visits(x[::48], visits)
+    score = x[::48] @ x.T
+    score[np.arange(len(score)), np.arange(0, len(x), 48)] = -np.inf
+    top = np.argsort(-score, 1)[:, :20]
+    recall = (leaf[top][:, :, None] == seen[:, None, :]).any(2).mean()
+    share = np.isin(leaf, seen[0]).mean()
+    assert recall >= 0.9 and np.mean([np.isin(leaf, row).mean() for row in seen]) < 0.2, (recall, share)
