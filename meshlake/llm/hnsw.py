@@ -11,7 +11,8 @@ whose radii leave no doubt are decided at once; for the others the cosines of al
 between cells are united by distributed components.
 
 Null, zero and non-finite vectors and those with null label link with nothing, nor do vectors of different lengths.
-Repeated rows are vectors of their own and link with each other. Rows with null vec_id link with nothing.
+Repeated rows are vectors of their own and link with each other. Rows with null vec_id link with nothing. Ties don't matter, as a
+component is named by its smallest vec_id. An empty table gives an empty result. Columns besides vec_id, embedding and label are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlake.llm.columns import column, numbered
 from meshlake.llm.components import components
 from meshlake.llm.scratch import keep
 from meshlake.llm.vectors import matrix, with_vectors
@@ -189,17 +191,23 @@ def join(graph: Graph, layer: int, nodes: np.ndarray, to: np.ndarray) -> None:
         links[t, : len(some)] = some
 
 
-def audited(graph: Graph, q: np.ndarray, bound: np.ndarray, beam: int, seed: int, sample: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) with a cosine of at least the query's bound; the beam widens until audits of a sample pass."""
+def audited(graph: Graph, q: np.ndarray, own: np.ndarray, bound: np.ndarray, beam: int, seed: int, sample: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) with a cosine of at least the query's bound; the beam widens until audits of a sample pass.
+
+    own is the query's own node, or -1 if the graph has none; it doesn't count as found.
+    """
     n = len(graph.x)
     r = np.random.default_rng(seed)
     some = r.permutation(len(q))[:sample]
     exact = q[some] @ graph.x.T
+    there = own[some] >= 0
+    exact[there, own[some][there]] = -2
     while beam < n:
         ids, near = graph.search(q[some], beam)
+        near[ids == np.where(there, own[some], -2)[:, None]] = -2
         wanted = (exact >= bound[some, None]).sum(1)
         got = (near >= bound[some, None]).sum(1)
-        nearest = near[:, 0] >= exact.max(1) - 1e-9
+        nearest = near.max(1) >= exact.max(1) - 1e-9
         if (got >= wanted).all() and nearest.mean() >= 0.9:
             break
         beam *= 2
@@ -229,7 +237,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, shard: int = 409
     """vec_id, n_links, component_id and kept for every row of embeddings (vec_id, embedding, label)."""
     limit = math.acos(least)
     reach = math.cos(limit / 2 - MARGIN)
-    every = keep(embeddings.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("string")).withColumn("row", F.monotonically_increasing_id()))
+    every = keep(numbered(embeddings).select(column(embeddings, "vec_id").cast("long").alias("vec_id"), column(embeddings, "embedding").alias("embedding"), column(embeddings, "label").cast("string").alias("label")).withColumn("row", F.monotonically_increasing_id()))
     usable = with_vectors(every, "label", "row").where("label IS NOT NULL").withColumn("label", F.concat_ws(":", F.size("vector"), "label"))
     per_label = keep(usable.groupBy("label").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / shard).cast("long")).drop("n"))
     dealt = usable.join(per_label, "label").withColumn("shard", F.expr("pmod(xxhash64(row, 21), shards)"))
@@ -266,7 +274,10 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, shard: int = 409
         q = np.stack([np.frombuffer(v) for v in asking["x"]])
         mine, theirs = asking["radius"].to_numpy(), graph_rows["radius"].to_numpy()
         bound = np.cos(np.minimum(limit + MARGIN + mine + theirs.max(initial=0), math.pi))
-        a, b = audited(graph, q, bound, beam, 5)
+        names = graph_rows["row"].to_numpy()
+        at = np.minimum(np.searchsorted(names, asking["row"].to_numpy()), len(names) - 1)
+        own = np.where(names[at] == asking["row"].to_numpy(), at, -1)
+        a, b = audited(graph, q, own, bound, beam, 5)
         apart = angle((q[a] * x[b]).sum(1))
         left, right = asking["row"].to_numpy()[a], graph_rows["row"].to_numpy()[b]
         maybe = (apart - mine[a] - theirs[b] <= limit + MARGIN) & (left != right)

@@ -11,6 +11,92 @@ from meshlake.llm.scratch import small_batches
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
+#: Words of a text: lower-cased A-Z, anything but white space.
+WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+#: Smallest id reachable over links(a, b), both ways, from every row of nodes(id).
+REACHED = """
+reached AS (
+  SELECT id, id AS other FROM nodes
+  UNION
+  SELECT reached.id, links.b FROM reached JOIN links ON reached.other = links.a
+),
+roots AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)
+"""
+
+ORACLES["op1_hnsw_near_dedup"] = f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS size
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b
+  FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_dot_product(x.v, y.v) / x.size / y.size >= 0.93
+),
+nodes AS (SELECT vec_id AS id FROM embeddings), {REACHED}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN roots ON vec_id = id
+"""
+
+ORACLES["op9_minhash_near_dedup"] = f"""
+WITH RECURSIVE worded AS (SELECT doc_id, {WORDS} AS w FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM worded
+),
+named AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM shingled),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM named x JOIN named y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+),
+nodes AS (SELECT doc_id AS id FROM documents), {REACHED}
+SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM shingled JOIN roots ON doc_id = id
+"""
+
+ORACLES["op10_sentence_spans"] = f"""
+WITH parts AS (  -- a word with the white space behind it
+  SELECT doc_id, generate_subscripts(p, 1) AS k, unnest(p) AS part
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS p FROM documents)
+),
+stops AS (
+  SELECT *, regexp_matches(part, '^[^\x20\x09-\x0D]*[.!?]([\x20\x09-\x0D]|$)') OR contains(part, chr(10)) AS stop FROM parts
+),
+numbered AS (
+  SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM stops
+),
+sentences AS (
+  SELECT doc_id, sentence, string_agg(part, '' ORDER BY k) AS text FROM numbered GROUP BY doc_id, sentence
+),
+keyed AS (
+  SELECT doc_id, sentence, text, array_to_string({WORDS}, ' ') AS words, count(*) OVER (PARTITION BY doc_id) AS n FROM sentences
+),
+runs AS (
+  SELECT doc_id, sentence, n, words || coalesce(' ' || lead(words, 1) OVER w, '') || coalesce(' ' || lead(words, 2) OVER w, '') AS span
+  FROM keyed WINDOW w AS (PARTITION BY doc_id ORDER BY sentence)
+),
+later AS (
+  SELECT doc_id, sentence FROM runs WHERE sentence = 0 OR sentence + 3 <= n
+  QUALIFY row_number() OVER (PARTITION BY span ORDER BY doc_id, sentence) > 1
+),
+gone AS (SELECT DISTINCT later.doc_id, later.sentence + s AS sentence FROM later, range(3) t(s)),
+judged AS (
+  SELECT keyed.*, gone.doc_id IS NOT NULL AS cut FROM keyed LEFT JOIN gone ON keyed.doc_id = gone.doc_id AND keyed.sentence = gone.sentence
+),
+cleaned AS (
+  SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (cut) AS n_removed, string_agg(text, '' ORDER BY sentence) FILTER (NOT cut) AS kept FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed,
+  CASE WHEN coalesce(n_removed, 0) = 0 THEN d.text ELSE regexp_extract(d.text, '^[\x20\x09-\x0D]*') || coalesce(kept, '') END AS text
+FROM documents d LEFT JOIN cleaned c ON d.doc_id = c.doc_id
+"""
+
 
 def query(f):
     QUERIES[f.__name__] = f

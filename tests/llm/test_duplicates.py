@@ -183,7 +183,7 @@ BAD = [(9001, None, 1), (9002, [0.0] * 16, 1), (9003, [float("nan")] * 16, 1), (
 def test_hnsw_equals_brute_force(spark):
     x = vectors(400, 3)
     rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)] + BAD + [(5, x[5].tolist(), 2)]
-    found = hnsw.near_duplicates(spark.createDataFrame([(*r, "n") for r in rows], "vec_id long, embedding array<double>, label int, n string").repartition(3), 0.93, shard=60).collect()
+    found = hnsw.near_duplicates(spark.createDataFrame([(*r, "n", 1, 2) for r in rows], "vec_id long, embedding array<double>, label int, n string, `a.b` int, Label int").repartition(3), 0.93, shard=60).collect()
     assert len(found) == len(rows)
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     ids, label = np.append(np.arange(400), 5), np.append(np.arange(400) % 3, 2)

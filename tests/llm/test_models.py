@@ -38,6 +38,71 @@ def test_filter_has_no_false_negatives_and_rare_false_positives():
     assert abs((f.contained(other)[0] == 2).mean() - f.fill[1] ** 2) < 0.003
 
 
+def test_predictions_equal_exact_n_gram_sets(spark):
+    """The same rule with plain sets in place of filters: equal languages, and shares that differ by the filters' rounding only."""
+    rows = [(i, prose(i, ("en", "de")[i % 2], 40), ("en", "de")[i % 2]) for i in range(40)]
+
+    def grams(text):
+        data = re.sub(r"[^a-zA-Zäöüß]+", " ", f" {text.lower()} ").encode()
+        return [(n, data[i : i + n]) for n in language.ORDERS for i in range(len(data) - n + 1)]
+
+    counts = {lang: Counter(g for _, t, x in rows if x == lang for g in grams(t)) for lang in ("en", "de")}
+    counts = {lang: {g: n for g, n in c.items() if n >= 3} for lang, c in counts.items()}
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    most = {g: max(rate[x].get(g, 0) for x in rate) for x in rate for g in rate[x]}
+    sets = {lang: {g for g, x in r.items() if x >= 0.2 * most[g]} for lang, r in rate.items()}
+    docs = spark.createDataFrame(rows + [(100 + i, prose(500 + i, ("en", "de")[i % 2], 3 + i), None) for i in range(30)], "doc_id long, text string, lang string")
+    for r in language.predict(docs, language.train(docs.where("lang IS NOT NULL"))).collect():
+        found = grams(r.text)
+        share = {lang: sum(g in s for g in found) / len(found) for lang, s in sets.items()}
+        best = max(share, key=share.get)
+        assert r.lang_pred == best and abs(r.match - share[best]) < 2e-3 and abs(r.score - share[best] / sum(share.values())) < 5e-3
+
+
+def test_score_equals_plain_recursion(spark):
+    """A whole document's score, word by word and window by window."""
+    docs = spark.createDataFrame([(0, prose(1, "en", 150)), (1, "two words"), (2, "")], "doc_id long, text string")
+    net = toxicity.Network(np.sort(toxicity.read_words(as_texts(pa.array([prose(1, "en", 20)]))).hashes), 3)
+    logistic = lambda z: 1 / (1 + np.exp(-z))
+
+    def recursion(x, side):
+        h, out, n = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+        for v in x:
+            g, u = v @ net.p[f"W{side}"] + net.p[f"c{side}"], h @ net.p[f"U{side}"]
+            reset, stay = logistic(g[:n] + u[:n]), logistic(g[n : 2 * n] + u[n : 2 * n])
+            h = stay * h + (1 - stay) * np.tanh(g[2 * n :] + reset * u[2 * n :])
+            out.append(h)
+        return out
+
+    for r in toxicity.score(docs, net).collect():
+        words = r.text.split()
+        logits = []
+        for at in range(0, max(1, len(words) - 64 + 32), 32):
+            part = words[at : at + 64]
+            x = []
+            for w in part:
+                one = toxicity.read_words(as_texts(pa.array([w])))
+                own = int(net.own(one)[0])
+                x.append(net.p["grams"][one.grams].sum(0) / math.sqrt(len(one.grams)) + net.p["words"][own])
+            states = np.array([np.concatenate(s) for s in zip(recursion(x, "f"), recursion(x[::-1], "b")[::-1], strict=True)]).reshape(len(part), 2 * toxicity.HIDDEN)
+            pooled = np.zeros(2 * toxicity.HIDDEN)
+            if len(part):
+                energy = np.exp(np.tanh(states @ net.p["A"] + net.p["a"]) @ net.p["v"])
+                pooled = energy / energy.sum() @ states
+            logits.append(pooled @ net.p["w"] + net.p["o"][0])
+        assert math.isclose(r.score, logistic(max(logits)), rel_tol=1e-4)
+
+
+def test_other_columns_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, prose(1, "en", 30), "en", 5, 6, 7)], "doc_id long, text string, lang string, `a.b` int, SCORE int, TEXT int")
+    scored = toxicity.score(docs, None)
+    assert scored.columns == ["doc_id", "text", "lang", "a.b", "TEXT", "score", "predicted"] and scored.count() == 1
+    named = language.predict(docs, language.train(docs))
+    assert named.columns == ["doc_id", "text", "lang", "a.b", "TEXT", "lang_pred", "score", "match"] and named.first()["lang_pred"] == "en"
+    labels = spark.createDataFrame([(1, 1, 3)], "doc_id long, toxic int, Doc_id int")
+    assert toxicity.train(docs, labels) is not None
+
+
 def test_toxicity_learns_words_and_parts_of_words(spark):
     rows = []
     for i in range(300):
