@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.llm.columns import column, numbered, only
@@ -124,7 +124,7 @@ def _names(values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, n (set size), set_a and set_b (the set's name), keys (of the bands; null for empty sets); docs has doc_id, text and digest."""
+    """doc_id, part, n (set size), set_a and set_b (the set's name), keys (of the bands; null for empty sets); docs has doc_id, text and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -133,9 +133,9 @@ def describe(docs: DataFrame) -> DataFrame:
             keys = bands(signatures(values, offsets))
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.reshape(-1).view(np.int64))
             lists = pa.compute.if_else(pa.array(n > 0), lists, pa.scalar(None, lists.type))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(n), *_names(values, offsets), lists], ["doc_id", "digest", "n", "set_a", "set_b", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), pa.array(n), *_names(values, offsets), lists], ["doc_id", "part", "n", "set_a", "set_b", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, n long, set_a long, set_b long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, part long, n long, set_a long, set_b long, keys array<long>")
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -158,29 +158,26 @@ def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the text of its smallest doc_id stays, once.
 
     Rows with a null doc_id and those without words all stay, but for repeats of doc_id and text. Columns stay as they are.
+    Whole rows are shuffled once, at any size of the table.
     """
-    found = labelled(docs, percent, digests=True).where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    found = labelled(docs, percent, parts=True).where("doc_id IS NOT NULL AND part IS NOT NULL")
     # of a component that holds several texts of its smallest doc_id, one
-    best = found.where("kept AND n_shingles > 0").groupBy("component_id", "root").agg(F.min("digest").alias("best"), F.count("*").alias("rows")).where("rows > 1").select("root", "best")
+    best = found.where("kept AND n_shingles > 0").groupBy("component_id", "root").agg(F.min("part").alias("best"), F.count("*").alias("rows")).where("rows > 1").select("root", "best")
     rows = found.join(keep(best), "root", "left")
-    rows = rows.select("doc_id", "digest", (F.col("kept") & F.coalesce(F.col("best") == F.col("digest"), F.lit(True))).alias("stays"))
+    rows = rows.select("doc_id", "part", (F.col("kept") & F.coalesce(F.col("best") == F.col("part"), F.lit(True))).alias("stays"))
     # doc_id and text of rows that go, or that are there more than once
-    odd = keep(rows.groupBy("doc_id", "digest").agg(F.max("stays").alias("stays"), F.count("*").alias("times")).where("NOT stays OR times > 1"))
-    rows = numbered(docs)
-    marked = rows.withColumn("doc_id", column(docs, "doc_id").cast("long")).withColumn("digest", _digest(column(docs, "text")))
-    left = marked.join(odd, ["doc_id", "digest"], "left").where("stays IS NULL OR stays")
-    once = left.where("times IS NULL").select(rows.columns).union(left.where("times > 1").dropDuplicates(["doc_id", "digest"]).select(rows.columns))
-    return once.toDF(*docs.columns)
+    odd = keep(rows.groupBy("doc_id", "part").agg(F.max("stays").alias("stays"), F.count("*").alias("times")).where("NOT stays OR times > 1"))
+    marked = numbered(docs).withColumn("doc_id", column(docs, "doc_id").cast("long")).withColumn("part", F.xxhash64(column(docs, "text").cast("string")))
+    left = marked.join(odd.hint("merge"), ["doc_id", "part"], "left").where("stays IS NULL OR stays")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy(F.lit(0)))  # dealt out and sorted so by the join
+    once = left.withColumn("nth", nth).where("times IS NULL OR nth = 1")
+    return once.select(*(f"_{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
 
 
-def _digest(text: Column) -> Column:
-    return F.unhex(F.md5(text.cast("string")))
-
-
-def labelled(docs: DataFrame, percent: int = 75, digests: bool = False) -> DataFrame:
-    """doc_id, digest (of the text, if asked for), n_shingles, root (a number of the component; null for empty sets), component_id and kept of every row."""
+def labelled(docs: DataFrame, percent: int = 75, parts: bool = False) -> DataFrame:
+    """doc_id, part (a hash of the text that tells rows of one doc_id apart, if asked for), n_shingles, root (a number of the component; null for empty sets), component_id and kept of every row."""
     plain = only(docs, doc_id="long", text="string")
-    described = keep(describe(plain.withColumn("digest", _digest(F.col("text")) if digests else F.lit(None).cast("binary"))).withColumn("row", F.monotonically_increasing_id()))
+    described = keep(describe(plain.withColumn("part", F.xxhash64("text") if parts else F.lit(None).cast("long"))).withColumn("row", F.monotonically_increasing_id()))
     filled = described.where("n > 0 AND doc_id IS NOT NULL")
     classes = keep(filled.groupBy("set_a", "set_b").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     buckets = classes.select("node", "n", F.explode("keys").alias("key"))
@@ -202,7 +199,7 @@ def labelled(docs: DataFrame, percent: int = 75, digests: bool = False) -> DataF
     out = described.drop("keys").join(of_class, ["set_a", "set_b"], "left")
     real = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     component = F.when(real, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), F.when(real, F.col("root")).alias("root"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "part", F.col("n").alias("n_shingles"), F.when(real, F.col("root")).alias("root"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are held as arrays at once; a single longer document makes a slice of its own.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: White space of the word rule: space and \t \n \v \f \r.
