@@ -29,7 +29,7 @@ WHITE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233,
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 DOCUMENT_END = 0x110000
 #: Distinct pre-tokens whose encoding a Python worker remembers.
-MEMORY = 200_000
+MEMORY = 100_000
 #: Pre-tokens of more symbols go through a tree of their own, in plain Python.
 SIDE_BY_SIDE = 64
 NONE = np.int32(1 << 30)

@@ -100,7 +100,8 @@ def remove_repeats(docs: DataFrame, run: int = 3) -> DataFrame:
                 out.append(b"".join(kept).decode())
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(n_sentences, pa.int64()), pa.array(n_removed, pa.int64())], ["text", "n_sentences", "n_removed"])
 
-    udf = F.arrow_udf(clean, "text string, n_sentences long, n_removed long")
+    # named nondeterministic, so that a filter on its results doesn't run it a second time
+    udf = F.arrow_udf(clean, "text string, n_sentences long, n_removed long").asNondeterministic()
     done = rows.join(cuts, ["doc_id", "part"], "left").withColumn("done", udf(text, F.col("cuts")))
     out = [(F.col("done.text") if i == place(docs, "text") else F.col(f"_{i}"), c) for i, c in enumerate(docs.columns) if c.lower() not in ("n_sentences", "n_removed")]
     return done.select(*(c for c, _ in out), "done.n_sentences", "done.n_removed").toDF(*(c for _, c in out), "n_sentences", "n_removed")
