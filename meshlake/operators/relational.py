@@ -40,14 +40,21 @@ def highest_only(df: DataFrame, group: list[str], rank: str, triggered: str) ->
 
 
 def latest_before(left: DataFrame, right: DataFrame, key: str, cutoff: str, time: str, ties: list[str], strict: bool = False) -> DataFrame:
-    """JON-06/07: for each left row the right row of its key with the latest time up to the cutoff; later ties win."""
-    rows = left.withColumn("_row", F.monotonically_increasing_id())
-    other = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])
-    at = F.col(f"_r_{time}")
-    met = rows.join(other, (F.col(key) == F.col(f"_r_{key}")) & ((at < F.col(cutoff)) if strict else (at <= F.col(cutoff))), "left")
-    wanted = F.when(at.isNotNull(), F.struct(*[F.col(f"_r_{c}").alias(c) for c in right.columns if c != key]))
-    best = met.groupBy("_row", *left.columns).agg(F.max_by(wanted, F.struct(at, *[F.col(f"_r_{c}") for c in ties])).alias("_best"))
-    return best.select(*left.columns, "_best.*")
+    """JON-06/07: for each left row the right row of its key with the latest time up to the cutoff; later ties win.
+
+    Both sides stand in one window of the key, so a key costs its rows once, not left rows times right rows. Rows with a null key or
+    cutoff, and those with nothing before, get nulls; repeated left rows stay.
+    """
+    own, other = left.columns, [c for c in right.columns if c != key]
+    facts = F.struct(*other)
+    after = F.lit(2 if strict else 0)  # whether right rows of the very cutoff stand behind or before it
+    a = left.select(F.col(key).alias("_key"), F.col(cutoff).alias("_at"), F.lit(1).alias("_side"), F.struct(*own).alias("_left"))
+    b = right.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).alias("_key"), F.col(time).alias("_at"), after.alias("_side"), facts.alias("_right"), F.struct(*ties).alias("_ties"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    so_far = Window.partitionBy("_key").orderBy("_at", "_side", "_ties").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("_best", F.last("_right", ignorenulls=True).over(so_far)).where("_side = 1")
+    known = F.col("_at").isNotNull() & F.col("_key").isNotNull()
+    return met.select("_left.*", *(F.when(known, F.col(f"_best.{c}")).alias(c) for c in other))
 
 
 def band_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, seconds: int) -> DataFrame:
@@ -118,15 +125,29 @@ def counter_deltas(df: DataFrame, key: str, order: list[str], value: str, tolera
     return out.withColumn("kind", kind).withColumn("delta", F.when(F.col("kind") == "delta", F.col(value) - F.col("previous")))
 
 
+def placed(df: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """SRT: the place (from 1) of every row in one order of the whole table, which should have no ties.
+
+    Rows are dealt out by ranges of the order and numbered within a range; how many rows stand before a range is one number for each.
+    """
+    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each range
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_nth", nth).join(offsets, "_range").withColumn(out, (F.col("_before") + F.col("_nth")).cast("long")).drop("_range", "_nth", "_before")
+
+
 def absence_streak(observations: DataFrame, presence: DataFrame, keys: DataFrame, key: str, at: str) -> DataFrame:
     """WIN-01: how many of the latest observations pass until the key was present; all of them if it never was.
 
-    One pass: the rank of each observation from the newest, and the least rank at which the key is present.
+    Only a key's latest presence counts, so one row a key meets the places of the observations from the newest.
     """
-    ranked = observations.select(at).distinct().withColumn("_rank", F.row_number().over(Window.orderBy(F.desc(at))))
+    ranked = placed(observations.select(at).distinct(), [F.desc(at)], "_rank")
     total = ranked.agg(F.count("*").alias("_all"))
-    seen = presence.select(key, at).distinct().join(F.broadcast(ranked), at).groupBy(key).agg(F.min("_rank").alias("_first"))
-    return keys.select(key).distinct().join(seen, key, "left").join(F.broadcast(total)).select(key, (F.coalesce(F.col("_first") - 1, F.col("_all"))).cast("long").alias("absent"))
+    seen = presence.join(ranked.select(at), at, "left_semi").groupBy(key).agg(F.max(at).alias(at)).join(ranked, at)
+    joined = keys.select(key).distinct().join(seen.select(key, "_rank"), key, "left").crossJoin(F.broadcast(total))  # one row
+    return joined.select(key, (F.coalesce(F.col("_rank") - 1, F.col("_all"))).cast("long").alias("absent"))
 
 
 def newest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -155,3 +176,27 @@ def natural_key(c: Column) -> Column:
 def missing_last(c: Column, descending: bool = False) -> list[Column]:
     """SRT-01: missing values last, whatever the direction."""
     return [c.isNull().asc(), c.desc() if descending else c.asc()]
+
+
+# --- merges of arrays (AGG) and identities (JON)
+
+
+def merge_entries(rows: DataFrame, owner: str, key: list[str], rank: list[str], fields: list[str]) -> DataFrame:
+    """AGG-08/09: one entry for each owner and key, each field from the entry of the lowest rank that has it, the least value of equals; entries without a whole key stay as they are."""
+    whole = F.lit(True)
+    for k in key:
+        whole = whole & F.col(k).isNotNull()
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*rank, c))).alias(c) for c in fields]
+    return rows.where(whole).groupBy(owner, *key).agg(*first).unionByName(rows.where(~whole).select(owner, *key, *fields))
+
+
+def with_fallback_key(rows: DataFrame, owner: str, key: str, fallback: str) -> DataFrame:
+    """AGG-08: entries without a key take that of their owner's entries with the same fallback value, if these have one only."""
+    known = rows.where(F.col(key).isNotNull() & F.col(fallback).isNotNull()).groupBy(owner, fallback).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    one = known.where("_low = _high").select(owner, fallback, F.col("_low").alias("_key"))
+    return rows.join(one, [owner, fallback], "left").withColumn(key, F.coalesce(key, "_key")).select(*rows.columns)
+
+
+def compatible_groups(rows: DataFrame, group: str, concrete: str) -> DataFrame:
+    """JON-17: the groups whose members have one concrete address at most (nulls agree with all)."""
+    return rows.groupBy(group).agg(F.count_distinct(concrete).alias("addresses"), F.count("*").alias("members")).withColumn("compatible", F.col("addresses") <= 1)

@@ -260,16 +260,14 @@ def agg07_serial_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "srt03_address_order",
-    "SELECT c_custkey, ROW_NUMBER() OVER (ORDER BY (c_custkey * 7919) % 16777216, c_custkey) AS place FROM customer ORDER BY place LIMIT 60",
+    "SELECT c_custkey, ROW_NUMBER() OVER (ORDER BY (c_custkey * 7919) % 16777216, c_custkey) AS place FROM customer",
 )
 def srt03_address_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT-03: the first 60 by numeric address (the page is the feature)."""
-    from pyspark.sql import Window
-
+    """SRT-03: the place of every row by numeric address."""
     n = (F.col("c_custkey") * 7919) % 16777216
     address = F.concat_ws(".", F.lit("10"), *[F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (16, 8, 0)])
-    page = table(spark, sf_dir, "customer").select("c_custkey", N.ipv4_hex(address).alias("k")).orderBy("k", "c_custkey").limit(60)
-    return page.select("c_custkey", F.row_number().over(Window.orderBy("k", "c_custkey")).cast("long").alias("place"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", N.ipv4_hex(address).alias("k"))
+    return R.placed(rows, [F.col("k").asc(), F.col("c_custkey").asc()]).select("c_custkey", "place")
 
 
 # --- rules and evidence

@@ -297,13 +297,18 @@ def agg18_evidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "agg19_finding_groups",
-    "SELECT event_type, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS status, string_agg(DISTINCT CAST(user_id AS VARCHAR), ',' ORDER BY CAST(user_id AS VARCHAR)) AS users, MIN(value) AS confidence, COUNT(*) AS n FROM events GROUP BY 1, 2",
+    """WITH g AS (SELECT event_type, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS status, MIN(value) AS confidence, COUNT(*) AS n FROM events GROUP BY 1, 2)
+    SELECT DISTINCT g.event_type, g.status, e.user_id AS subject, g.confidence, g.n FROM events e JOIN g ON g.event_type = e.event_type AND g.status = CASE WHEN e.value > 50 THEN 'high' ELSE 'low' END""",
 )
 def agg19_finding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-19: findings grouped by rule and status, with their sorted subjects, least confidence and count."""
+    """AGG-19: findings grouped by rule and status with least confidence and count, and a row for each subject of a group.
+
+    Two levels of aggregation: subjects are counted first, so a group of any size is a few rows when it meets its subjects.
+    """
     status = F.when(F.col("value") > 50, "high").otherwise("low")
-    users = F.array_join(F.array_sort(F.collect_set(F.col("user_id").cast("string"))), ",")
-    return table(spark, sf_dir, "events").groupBy("event_type", status.alias("status")).agg(users.alias("users"), F.min("value").alias("confidence"), F.count("*").alias("n"))
+    subjects = table(spark, sf_dir, "events").groupBy("event_type", status.alias("status"), F.col("user_id").alias("subject")).agg(F.min("value").alias("least"), F.count("*").alias("m"))
+    groups = subjects.groupBy("event_type", "status").agg(F.min("least").alias("confidence"), F.sum("m").alias("n"))
+    return subjects.join(groups, ["event_type", "status"]).select("event_type", "status", "subject", "confidence", "n")
 
 
 @register(
@@ -430,23 +435,19 @@ def win11_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", F.when(F.col("at").isNull(), "absent").when(F.col("now") - F.col("at") <= 86_400_000_000, "fresh").otherwise("stale").alias("state"))
 
 
-@register("srt01_missing_last", "SELECT c_custkey, ROW_NUMBER() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS LAST, c_custkey) AS place FROM customer ORDER BY place LIMIT 100")
+@register("srt01_missing_last", "SELECT c_custkey, ROW_NUMBER() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS LAST, c_custkey) AS place FROM customer")
 def srt01_missing_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT-01/09: a page of 100 in an order with missing values last (the page is the feature): a distributed top-k, ranked afterwards."""
+    """SRT-01: the place of every row in an order with missing values last."""
     value = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
-    page = table(spark, sf_dir, "customer").select("c_custkey", value.alias("v")).orderBy(*R.missing_last(F.col("v"), True), "c_custkey").limit(100)
-    return page.select("c_custkey", F.row_number().over(Window.orderBy(*R.missing_last(F.col("v"), True), "c_custkey")).cast("long").alias("place"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", value.alias("v"))
+    return R.placed(rows, [*R.missing_last(F.col("v"), True), F.col("c_custkey").asc()]).select("c_custkey", "place")
 
 
-@register(
-    "srt02_natural_order",
-    "SELECT p_partkey, ROW_NUMBER() OVER (ORDER BY CAST(p_size AS INTEGER), p_partkey) AS place FROM part ORDER BY place LIMIT 50",
-)
+@register("srt02_natural_order", "SELECT p_partkey, ROW_NUMBER() OVER (ORDER BY CAST(p_size AS INTEGER), p_partkey) AS place FROM part")
 def srt02_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT-02: the first 50 parts in natural order of a text with digits (the page is the feature)."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("v"), F.col("p_size").cast("string")).alias("version")).withColumn("k", R.natural_key(F.col("version")))
-    page = parts.orderBy("k", "p_partkey").limit(50)
-    return page.select("p_partkey", F.row_number().over(Window.orderBy("k", "p_partkey")).cast("long").alias("place"))
+    """SRT-02: the place of every part in natural order of a text with digits."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", R.natural_key(F.concat(F.lit("v"), F.col("p_size").cast("string"))).alias("k"))
+    return R.placed(parts, [F.col("k").asc(), F.col("p_partkey").asc()]).select("p_partkey", "place")
 
 
 @register("srt06_finding_order", "SELECT event_type, event_id, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place FROM events")

@@ -1,9 +1,11 @@
+import os
+
 import pytest
 
 import __spark_entry__
 from tests.oracle import connect, difference
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 ORACLES = {k: v for k, v in __spark_entry__.catalog.ORACLES.items()}
 
 

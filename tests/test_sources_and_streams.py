@@ -143,3 +143,32 @@ def test_natural_order_of_long_numbers_and_long_tlv(spark):
     assert [r.v for r in df.orderBy(relational.natural_key(F.col("v"))).collect()] == want
     got = spark.createDataFrame([("0101ff" * 300,), ("0500" * 300,), (None,)], "h string").select(records.tlv(F.col("h"))).collect()
     assert [len(r[0]) for r in got] == [300, 300, 0]
+
+
+def test_latest_before_takes_ties_nulls_and_repeats(spark):
+    left = spark.createDataFrame([(1, 5), (1, 5), (1, 1), (2, None), (None, 5), (3, 9)], "k int, at int")
+    right = spark.createDataFrame([(1, 5, "b"), (1, 5, "c"), (1, 4, "a"), (2, 1, "x"), (None, 1, "y"), (3, None, "z")], "k int, t int, v string")
+    for strict, want in ((False, "c"), (True, "a")):
+        found = relational.latest_before(left, right, "k", "at", "t", ["v"], strict).collect()
+        got = sorted((x.k or 0, x.at or 0, x.v or "") for x in found)
+        assert got == sorted([(1, 5, want), (1, 5, want), (1, 1, ""), (2, 0, ""), (0, 5, ""), (3, 9, "")])
+
+
+def test_places_of_all_rows(spark):
+    values = [(i * 7919) % 1000 for i in range(1000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v int").repartition(7)
+    assert {x.v: x.place for x in relational.placed(rows, [F.desc("v")]).collect()} == {v: 1000 - v for v in values}
+    assert relational.placed(rows.limit(0), [F.desc("v")]).count() == 0
+
+
+def test_entries_without_a_key_stay(spark):
+    rows = spark.createDataFrame([(1, None, 7, 1, "a"), (1, "e", 7, 2, None), (1, "e", 7, 3, "b"), (1, None, 8, 1, "c"), (1, "f", 8, 1, "d"), (1, "g", 8, 1, "d")], "owner int, ext string, rloc int, rank int, x string")
+    keyed = relational.with_fallback_key(rows, "owner", "ext", "rloc")
+    merged = relational.merge_entries(keyed, "owner", ["ext"], ["rank"], ["x"])
+    assert sorted((r.ext or "", r.x) for r in merged.collect()) == [("", "c"), ("e", "a"), ("f", "d"), ("g", "d")]
+
+
+def test_components_equal_brute_force_on_a_fixture(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (9, 8), (8, 5)], "low int, high int")
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 8, 9)], "node int")
+    assert {x.node: x.component for x in graph.components(nodes, pairs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 8: 5, 9: 5}
