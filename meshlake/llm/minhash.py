@@ -12,7 +12,9 @@ candidate pairs than it has members. Members of buckets that hold several compon
 their shingles are ordered from rare to frequent, and two sets that are similar enough must share one among the first
 few of each (prefix filter), at places that leave room for the rest. So what a whole bucket has in common gives no
 pairs, and links between its members are found however many components it holds. Of a shingle's documents only those outside its
-largest component meet the others; pairs of one component are never made.
+largest component meet the others; pairs of one component are never made. Each set also has a map of 512 parity bits: two maps
+differ in no more bits than the sets in shingles, so a pair whose maps differ in too many is under the limit for certain and
+makes no row (a bitmap filter; for sets of more than about 500 shingles it is weak, and the other filters remain).
 
 Every row counts: equal rows are copies; rows with one doc_id and different texts are different documents that
 don't link for that. component_id is the smallest doc_id of the rows reachable, with its own. Null doc_ids link with nothing
@@ -39,6 +41,9 @@ BINS_BITS, ROWS, BANDS = 8, 6, 42
 BINS = 1 << BINS_BITS
 #: Rounds of the donor sequence that are tabled; more are computed when a set is so small that these don't reach it.
 DONORS = 64
+#: Longs of a set's parity map.
+MAP = 8
+MAP_COLUMNS = [f"map{i}" for i in range(MAP)]
 #: Comparisons of one shingle's documents that a task makes at most, about.
 TASK_PAIRS = 1 << 24
 
@@ -123,6 +128,14 @@ def _names(values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     return sums
 
 
+def parity_maps(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each set, MAP longs of bits, each the parity of the number of shingles that fall on it: sets x MAP."""
+    n, bits = len(offsets) - 1, 64 * MAP
+    cell = np.repeat(np.arange(n), np.diff(offsets)) * bits + (mix(values) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(cell, minlength=n * bits).reshape(n, bits) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id, part, n (set size), set_a and set_b (the set's name), keys (of the bands; null for empty sets); docs has doc_id, text and part."""
 
@@ -139,14 +152,16 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """set_a, set_b and shingles (array<long>) of each text."""
+    """set_a, set_b, shingles (array<long>) and the parity map of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             values, offsets = shingle_sets(as_texts(part.column("text")))
-            yield pa.RecordBatch.from_arrays([*_names(values, offsets), pa.ListArray.from_arrays(offsets.astype(np.int32), values.view(np.int64))], ["set_a", "set_b", "shingles"])
+            lists = pa.ListArray.from_arrays(offsets.astype(np.int32), values.view(np.int64))
+            maps = [pa.array(np.ascontiguousarray(x)) for x in parity_maps(values, offsets).T]
+            yield pa.RecordBatch.from_arrays([*_names(values, offsets), lists, *maps], ["set_a", "set_b", "shingles", *MAP_COLUMNS])
 
-    return docs.select("text").mapInArrow(run, "set_a long, set_b long, shingles array<long>")
+    return docs.select("text").mapInArrow(run, ", ".join(["set_a long, set_b long, shingles array<long>", *(f"{x} long" for x in MAP_COLUMNS)]))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -203,12 +218,12 @@ def labelled(docs: DataFrame, percent: int = 75, parts: bool = False) -> DataFra
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """node and shingles of every class that has a bucket with others."""
+    """node, shingles and parity map of every class that has a bucket with others."""
     named = classes.select("node", "doc_id", "set_a", "set_b").join(members.select("node").distinct(), "node", "left_semi")
     named = keep(named)
     texts = docs.join(keep(named.select("doc_id").distinct()), "doc_id", "left_semi")
     found = sets(texts).join(named.select("set_a", "set_b", "node"), ["set_a", "set_b"])
-    return keep(found.select("node", "shingles").dropDuplicates(["node"]))  # a document's repeated rows
+    return keep(found.select("node", "shingles", *MAP_COLUMNS).dropDuplicates(["node"]))  # a document's repeated rows
 
 
 def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -243,11 +258,11 @@ def prefix_pairs(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     tokens = rows.join(full, "node").select("node", "n", "component", F.explode("shingles").alias("token"))
     often = keep(tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"))
     held = tokens.join(often, "token").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("t"))
-    held = held.withColumn("m", F.size("t"))
+    held = held.withColumn("m", F.size("t")).join(full.select("node", *MAP_COLUMNS), "node")
     least = F.ceil(percent * F.col("n") / 100)  # shared with a larger set
     equal = F.ceil(2 * percent * F.col("n") / (100 + percent))  # shared with a set as large
-    first = held.where(F.col("m") >= least).select("node", "n", "component", "m", F.posexplode(F.slice("t", F.lit(1), (F.col("m") - least + 1).cast("int"))).alias("at", "x"))
-    prefix = keep(first.select("node", "n", "component", F.col("x.token").alias("token"), (F.col("n") - F.col("m") + F.col("at")).alias("place"), (F.col("at") <= F.col("m") - equal).alias("short")))
+    first = held.where(F.col("m") >= least).select("node", "n", "component", "m", *MAP_COLUMNS, F.posexplode(F.slice("t", F.lit(1), (F.col("m") - least + 1).cast("int"))).alias("at", "x"))
+    prefix = keep(first.select("node", "n", "component", *MAP_COLUMNS, F.col("x.token").alias("token"), (F.col("n") - F.col("m") + F.col("at")).alias("place"), (F.col("at") <= F.col("m") - equal).alias("short")))
     per = prefix.groupBy("token", "component").agg(F.count("*").alias("m"))
     groups = per.groupBy("token").agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("m"), F.count("*").alias("several")).where("several > 1")
     salts = F.ceil((F.col("m") - F.col("most.m")) * F.col("m") / TASK_PAIRS)
@@ -258,7 +273,9 @@ def prefix_pairs(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     apart = "x.token = y.token AND x.salt = y.salt AND x.component <> y.component AND (y.component = y.largest OR x.node < y.node)"
     sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND CASE WHEN x.n <= y.n THEN x.short ELSE y.short END"
     room = f"{100 + percent} * least(x.n - x.place, y.n - y.place) >= {percent} * (x.n + y.n)"
-    pairs = x.join(y, F.expr(f"{apart} AND {sizes} AND {room}"))
+    differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in MAP_COLUMNS)  # at most the shingles that one set has alone
+    near = f"{100 + percent} * (x.n + y.n - ({differ})) >= {2 * percent} * (x.n + y.n)"
+    pairs = x.join(y, F.expr(f"{apart} AND {sizes} AND {room} AND {near}"))
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
 
 

@@ -90,6 +90,19 @@ def test_minhash_on_a_template(spark):
     assert found == {i: i - i % 2 for i in range(300)}
 
 
+def test_parity_maps_never_differ_more_than_the_sets():
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 4000, size, np.uint64)) for size in (0, 1, 5, 80, 80, 900, 900, 3000)]
+    sets += [np.union1d(s[: len(s) * 9 // 10], r.integers(0, 1 << 40, 3).astype(np.uint64)) for s in sets]
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    maps = minhash.parity_maps(np.concatenate(sets), offsets)
+    assert maps.shape == (len(sets), minhash.MAP)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            differ = sum(int(x).bit_count() for x in (maps[i] ^ maps[j]).view(np.uint64))
+            assert differ <= len(np.setxor1d(a, b)) and (differ > 0 or i == j or len(np.setxor1d(a, b)) % 2 == 0)
+
+
 def test_minhash_takes_rows_and_not_ids(spark):
     """An id with two texts, repeated rows, nulls, and columns with awkward names."""
     p, other = prose(1, "en", 60), prose(2, "de", 60)
