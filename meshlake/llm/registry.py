@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm import hmm, hnsw, kmeans_tree, language, minhash, packing, spans, tokens, toxicity
+from meshlake.llm import hmm, hnsw, kmeans_tree, language, minhash, packing, spans, tokens, toxicity, trie
 from meshlake.llm.scratch import small_batches
 
 QUERIES = {}
@@ -97,6 +97,44 @@ SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN cleaned c ON d.doc_id = c.doc_id
 """
 
+#: CRC-32 of a text of ASCII characters.
+CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+ORACLES["op13_conversation_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, t.i, 0 AS own, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.i < c.h
+  UNION ALL
+  SELECT c.conv_id, t.i, 1, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i >= c.h
+),
+paths AS (
+  SELECT conv_id, count(*) OVER w AS depth, list({{'role': role, 'text': text}}) OVER w AS prefix, length(text) AS size FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)
+  UNION ALL
+  SELECT conv_id, 0, [], 0 FROM convs
+),
+ended AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT min(p.conv_id) AS conv_id, p.depth, prefix, any_value(size) AS size, count(*) AS n_convs,
+    sha256(coalesce(string_agg(e.conv_id::VARCHAR, ',' ORDER BY e.conv_id), '')) AS ends_sha256
+  FROM paths p LEFT JOIN ended e ON p.conv_id = e.conv_id AND p.depth = e.depth
+  GROUP BY p.depth, prefix
+),
+parents AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]),
+kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM parents WHERE depth > 0 GROUP BY ALL),
+tree AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM parents p LEFT JOIN kids k ON p.conv_id = k.conv_id AND p.depth = k.depth),
+summed AS (  -- a node and its ancestors are on its smallest member's path
+  SELECT prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+  FROM (SELECT paths.prefix, tree.n_children, tree.n_convs, tree.size FROM tree JOIN paths ON paths.conv_id = tree.conv_id AND paths.depth <= tree.depth) GROUP BY prefix
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM tree JOIN summed USING (prefix)
+"""
+
 
 def query(f):
     QUERIES[f.__name__] = f
@@ -186,3 +224,9 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the passages that an earlier one has."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return spans.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "text")
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return trie.nodes(read(spark, sf_dir, "conversations"), 100, 6)
