@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlake.llm import hmm, hnsw, kmeans_tree, language, minhash, packing, spans, tokens, toxicity, trie
+from meshlake.llm import collocations, hmm, hnsw, kmeans_tree, language, minhash, packing, spans, substrings, tokens, toxicity, trie
 from meshlake.llm.scratch import small_batches
 
 QUERIES = {}
@@ -97,6 +97,44 @@ SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN cleaned c ON d.doc_id = c.doc_id
 """
 
+ORACLES["op11_phrase_collocations"] = r"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+counts AS (
+  SELECT lang, n AS k, array_to_string(w[i:i + n - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, range(1, 5) t(n)) GROUP BY lang, k, phrase HAVING count(*) >= 30
+),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, (2000000 * c.a::HUGEINT // (l.f + r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')
+),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - n + 2)) AS i FROM candidates, range(2, 4) t(n) WHERE n < k) GROUP BY ALL
+),
+kept AS (SELECT w.* FROM worst w LEFT JOIN inner_parts p ON p.lang = w.lang AND p.phrase = w.phrase WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes ON sizes.lang = ranked.lang WHERE rank <= 2000
+"""
+
+ORACLES["op12_suffix_array_dedup"] = """
+WITH bytes AS (SELECT row_number() OVER () AS row_id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT row_id, doc_id, unnest(range(0, length(h) // 2)) AS p, h FROM bytes),
+strings AS (SELECT row_id, p, substring(h, 2 * p + 1, 2) AS byte, CASE WHEN 2 * p + 400 <= length(h) THEN md5(substring(h, 2 * p + 1, 400)) END AS s FROM places),
+judged AS (SELECT row_id, p, byte, s IS NOT NULL AND count(*) OVER (PARTITION BY s) > 1 AS again FROM strings),
+covered AS (SELECT row_id, p, byte, max(again) OVER (PARTITION BY row_id ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM judged),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY row_id ORDER BY p), false) AS edge FROM covered),
+kept AS (SELECT row_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (edge) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS h FROM edges GROUP BY row_id)
+SELECT doc_id, length(b.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM bytes b LEFT JOIN kept k ON b.row_id = k.row_id
+"""
+
 #: CRC-32 of a text of ASCII characters.
 CRC32 = """xor(4294967295, list_reduce(
     list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
@@ -226,6 +264,21 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "text")
 
 
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language of all documents."""
+    return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"), 30, 2000)
+
+
+@query
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that repeated strings of 200 bytes cover, as counts and a digest."""
+    found = substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return found.select("doc_id", n_bytes.alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of all rebuilt conversations."""
