@@ -6,7 +6,7 @@
 * The bytes of the other segments are cut out of one of their documents each and dealt to shards by key. A shard's segments form one text whose suffix
   array is made by induced sorting; strings whose permuted common prefix with a neighbour reaches ``width`` are repeated. Documents never
   meet within a string, for segments are parted by a symbol of their own.
-* A key with more than ``HEAVY`` bytes is cut into several lots, each in a shard of its own choice. Strings of such keys that a shard has found once
+* A key with more bytes than a shard (``HEAVY``) is cut into several lots, each in a shard of its own choice. Strings of such keys that a shard has found once
   meet those of other lots by their hashes, so no shard grows with a key.
 * Runs of repeated strings go back to all documents that have the segment, and their bytes are cut out.
 
@@ -35,8 +35,8 @@ BLOCK = 400_000
 LONGEST = 1 << 16
 #: Bytes of a shard, as a mean.
 SHARD = 2_000_000
-#: Bytes of a key's segments from which it is cut into lots.
-HEAVY = 250_000
+#: Bytes of a lot of one key, as a mean: a key that fills a shard by itself is cut.
+HEAVY = SHARD
 
 
 def _least(hashes: np.ndarray, window: int) -> np.ndarray:
