@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlake.sources.shared import forget, keep
+
 
 def undirected(links: DataFrame, a: str, b: str) -> DataFrame:
     """GRF-06: one row for each linked pair (low, high) with the number of parallel links; links of a node to itself go."""
@@ -27,42 +29,26 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """GRF-02: node, component: the smallest node that it reaches; nodes without links are their own.
 
     Labels sink to the smallest around a node, then each takes the label of its label, so rounds grow with
-    the logarithm of the longest path on most graphs. checkpoint() cuts the plan every few rounds.
+    the logarithm of the longest path on most graphs. Each round is written, so nothing is computed twice and nothing stays cached.
     """
-    _checkpoint_folder(nodes)
-    around = both_ways(pairs).checkpoint()
-    labels = nodes.select("node", F.col("node").alias("component")).distinct().checkpoint()
-    round_ = 0
+    around = keep(both_ways(pairs))
+    labels = keep(nodes.select("node", F.col("node").alias("component")).distinct())
     while True:
         told = around.join(labels.withColumnRenamed("node", "other"), "other").select("node", "component", F.lit(None).cast(labels.schema["component"].dataType).alias("before"))
         own = labels.select("node", "component", F.col("component").alias("before"))
-        sunk = told.union(own).groupBy("node").agg(F.min("component").alias("component"), F.max("before").alias("before"))
+        sunk = keep(told.union(own).groupBy("node").agg(F.min("component").alias("component"), F.max("before").alias("before")))
+        forget(labels)
+        if sunk.where("component <> before").isEmpty():
+            forget(around)
+            return sunk.select("node", "component")
         jump = sunk.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = sunk.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "before").persist()
-        done = new.where("component <> before").isEmpty()
-        round_ += 1
-        labels = new.select("node", "component")
-        if done or round_ % 4 == 0:
-            labels = labels.checkpoint()
-            new.unpersist()
-        if done:
-            return labels
-
-
-def _checkpoint_folder(df: DataFrame) -> None:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        labels = keep(sunk.join(jump, "component", "left").select("node", F.least("component", "further").alias("component")))
+        forget(sunk)
 
 
 def _folded(parts: list[DataFrame]) -> list[DataFrame]:
     """The same rows in one table once there are 64, so that plans stay short however deep a graph is."""
-    return parts if len(parts) < 64 else [reduce(DataFrame.union, parts).checkpoint()]
+    return parts if len(parts) < 64 else [keep(reduce(DataFrame.union, parts))]
 
 
 def depths(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -70,14 +56,13 @@ def depths(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
     A level's neighbours lie in it or next to it, so new ones need to be told apart from two levels only.
     """
-    _checkpoint_folder(pairs)
-    around = both_ways(pairs).checkpoint()
-    levels = [roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")).distinct().checkpoint()]
+    around = keep(both_ways(pairs))
+    levels = [keep(roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")).distinct())]
     done, depth = levels, 0
     while True:
         near = reduce(DataFrame.union, [x.select("node") for x in levels])
         step = levels[-1].join(around, "node").select(F.col("other").alias("node"), F.col("node").alias("parent")).join(near, "node", "left_anti")
-        level = step.groupBy("node").agg(F.min("parent").alias("parent")).select("node", F.lit(depth + 1).alias("depth"), "parent").checkpoint()
+        level = keep(step.groupBy("node").agg(F.min("parent").alias("parent")).select("node", F.lit(depth + 1).alias("depth"), "parent"))
         if level.isEmpty():
             return reduce(DataFrame.union, done)
         levels, done, depth = [levels[-1], level], _folded([*done, level]), depth + 1
@@ -88,30 +73,6 @@ def best_parent(candidates: DataFrame, child: str, parent: str, score: str) -> D
     return candidates.groupBy(child).agg(F.max_by(parent, F.struct(score, -F.col(parent))).alias(parent), F.max(score).alias(score))
 
 
-def bridges(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """GRF-01: (low, high) pairs whose loss splits a component.
-
-    A spanning forest is taken breadth first; a tree link is no bridge if a link outside the tree joins the subtree
-    below it with the rest. Every outside link walks its two ends up the tree to their meeting point, a level at a
-    time, and marks the tree links passed; the unmarked ones are bridges. Parallel links count as one.
-    """
-    roots = components(nodes, pairs).select(F.col("component").alias("node")).distinct()
-    tree = depths(pairs, roots).checkpoint()
-    links = tree.where("parent IS NOT NULL").select(F.least("node", "parent").alias("low"), F.greatest("node", "parent").alias("high"), F.col("node").alias("below"))
-    walks = pairs.select("low", "high").join(links, ["low", "high"], "left_anti").select(F.col("low").alias("x"), F.col("high").alias("y")).checkpoint()
-    up = {c: tree.select(F.col("node").alias(c), F.col("depth").alias(f"d_{c}"), F.col("parent").alias(f"p_{c}")) for c in "xy"}
-    covered = []
-    while not walks.isEmpty():
-        at = walks.join(up["x"], "x").join(up["y"], "y")
-        lower_x = F.col("d_x") >= F.col("d_y")
-        moved = at.select(F.when(lower_x, F.col("x")).otherwise(F.col("y")).alias("passed"), F.when(lower_x, F.col("p_x")).otherwise(F.col("x")).alias("x"), F.when(lower_x, F.col("y")).otherwise(F.col("p_y")).alias("y")).checkpoint()
-        covered = _folded([*covered, moved.select("passed")])
-        walks = moved.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().checkpoint()
-    if covered:
-        links = links.join(reduce(DataFrame.union, covered).withColumnRenamed("passed", "below"), "below", "left_anti")
-    return links.select("low", "high")
-
-
 def resolve_entities(records: DataFrame, record: str, keys: list[str]) -> DataFrame:
     """JON-16: record, entity: records sharing any non-empty key are one entity, named by its smallest record.
 
@@ -129,9 +90,3 @@ def resolve_entities(records: DataFrame, record: str, keys: list[str]) -> DataFr
 def isolated(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """GRF-11: nodes without a neighbour."""
     return nodes.join(both_ways(pairs), "node", "left_anti")
-
-
-def largest_component_order(labels: DataFrame) -> DataFrame:
-    """Components by size, the larger first, then by name."""
-    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
-    return sizes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "component")))

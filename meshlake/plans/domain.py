@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from meshlake.functions import identity as I
 from meshlake.functions import values as V
+from meshlake.operators import blocks as B
 from meshlake.operators import graph as G
 from meshlake.operators import relational as R
 from meshlake.operators import rules as U
 from meshlake.plans.catalog import register
+from meshlake.sources.shared import keep
 from meshlake.sources.tables import table
 
 # --- projections and filters
@@ -436,17 +438,63 @@ def grf11_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.isolated(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")), G.undirected(trade(spark, sf_dir), "a", "b"))
 
 
-@register("grf01_bridges")
+def strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier-part pairs whose lines have 80 units or more together."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("low"), (F.col("l_partkey") + 10_000_000).alias("high"))
+    return lines.agg(F.sum("l_quantity").alias("units")).where("units >= 80").select("low", "high")
+
+
+STRONG = "SELECT l_suppkey AS low, l_partkey + 10000000 AS high FROM lineitem GROUP BY 1, 2 HAVING SUM(l_quantity) >= 80"
+AROUND = f"links AS ({STRONG}), around AS (SELECT low AS node, high AS other FROM links UNION ALL SELECT high, low FROM links)"
+
+
+def strong_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = keep(strong(spark, sf_dir))
+    return B.analysed(G.both_ways(pairs).select("node").distinct(), pairs)
+
+
+@register(
+    "grf01_bridges",
+    f"""WITH RECURSIVE {AROUND}, reached(low, high, node) AS (  -- from a link's lower end without the link
+      SELECT low, high, low FROM links
+      UNION
+      SELECT r.low, r.high, a.other FROM reached r JOIN around a ON a.node = r.node WHERE NOT (r.low = least(a.node, a.other) AND r.high = greatest(a.node, a.other))),
+    whole(start, node) AS (SELECT DISTINCT low, low FROM links UNION SELECT w.start, a.other FROM whole w JOIN around a ON a.node = w.node),
+    sizes AS (SELECT start, COUNT(*) AS n FROM whole GROUP BY start)
+    SELECT low, high, COUNT(*) AS low_side, any_value(n) - COUNT(*) AS high_side FROM reached JOIN sizes ON start = low GROUP BY low, high HAVING NOT bool_or(node = high)""",
+)
 def grf01_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRF-01: links whose loss splits a component (tests compare them with a brute force)."""
-    pairs = G.undirected(trade(spark, sf_dir), "a", "b").select("low", "high")
-    return G.bridges(G.both_ways(pairs).select("node").distinct(), pairs)
+    """GRF-01: links whose loss splits a component, with the sizes of both sides."""
+    return B.bridges(strong_blocks(spark, sf_dir))
 
 
-@register("grf03_depths")
+@register(
+    "grf01_cut_nodes",
+    f"""WITH RECURSIVE {AROUND}, reached(cut, start, node) AS (  -- from every neighbour of a node without the node
+      SELECT node, other, other FROM around
+      UNION
+      SELECT r.cut, r.start, a.other FROM reached r JOIN around a ON a.node = r.node WHERE a.other <> r.cut),
+    parts AS (SELECT cut, start, MIN(node) AS part, COUNT(*) AS size FROM reached GROUP BY cut, start)
+    SELECT DISTINCT cut AS node, part, size FROM parts QUALIFY MIN(part) OVER (PARTITION BY cut) <> MAX(part) OVER (PARTITION BY cut)""",
+)
+def grf01_cut_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-01: nodes whose loss splits a component, with the parts that remain by their smallest node and size."""
+    return B.cut_parts(strong_blocks(spark, sf_dir))
+
+
+@register(
+    "grf03_depths",
+    f"""WITH RECURSIVE {AROUND}, reached(start, node) AS (SELECT DISTINCT node, node FROM around UNION SELECT r.start, a.other FROM reached r JOIN around a ON a.node = r.node),
+    roots AS (SELECT node, MIN(start) AS root FROM reached GROUP BY node),
+    walk(node, depth) USING KEY (node) AS (
+      SELECT DISTINCT root, 0 FROM roots
+      UNION
+      SELECT a.other, MIN(w.depth) + 1 FROM walk w JOIN around a ON a.node = w.node LEFT JOIN recurring.walk AS now ON now.node = a.other WHERE now.node IS NULL GROUP BY a.other)
+    SELECT w.node, w.depth, MIN(above.node) AS parent FROM walk w LEFT JOIN (SELECT a.other, u.node, u.depth FROM around a JOIN walk u ON u.node = a.node) above ON above.other = w.node AND above.depth = w.depth - 1 GROUP BY w.node, w.depth""",
+)
 def grf03_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRF-03: breadth-first depth and parent of every node from its component's smallest."""
-    pairs = G.undirected(trade(spark, sf_dir), "a", "b").select("low", "high")
+    """GRF-03: breadth-first depth and least parent of every node from its component's smallest."""
+    pairs = strong(spark, sf_dir)
     roots = G.components(G.both_ways(pairs).select("node").distinct(), pairs).select(F.col("component").alias("node")).distinct()
     return G.depths(pairs, roots)
 

@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlake.plans.catalog import register
+from meshlake.sources.shared import new_folder
 from meshlake.streaming import state
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset a temporary one, which only a local master can use."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     whole = spark.read.parquet(path)
@@ -41,7 +30,7 @@ def finished(df: DataFrame, folder: str) -> DataFrame:
 def str04_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-04: idempotent ingestion of a stream by id."""
     once = state.once(events_stream(spark, sf_dir), "event_id", "ts", "3650 days")
-    return finished(once.select("event_id", "user_id"), shared_folder(spark))
+    return finished(once.select("event_id", "user_id"), new_folder(spark, "stream"))
 
 
 @register(
@@ -50,7 +39,7 @@ def str04_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def str05_last_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-03/05: the last-known row of each user, upserted batch by batch; older facts never win."""
-    folder = shared_folder(spark)
+    folder = new_folder(spark, "stream")
     known = state.LastKnown(f"{folder}/known", "user_id", ["ts", "event_id"], ["ts", "event_id", "value"])
     query = known.start(events_stream(spark, sf_dir), f"{folder}/log")
     query.awaitTermination()

@@ -45,29 +45,6 @@ def test_nested_links(spark):
     assert {tuple(r) for r in records.flatten_links(df, "d", "links", ["to", "lq"]).collect()} == {("a", 0, "0x1", 3), ("a", 1, "0x2", 1)}
 
 
-@pytest.mark.parametrize("links", [[(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4), (7, 8), (8, 8), (1, 2)], [(i, i + 1) for i in range(1, 12)] + [(1, 9), (20, 21), (21, 22), (22, 20)]])
-def test_bridges_equal_brute_force(spark, links):
-    pairs = sorted({(min(p), max(p)) for p in links if p[0] != p[1]})
-    nodes = {x for p in pairs for x in p}
-
-    def reach(some, start):
-        seen, todo = {start}, [start]
-        while todo:
-            at = todo.pop()
-            for a, b in some:
-                for x, y in ((a, b), (b, a)):
-                    if x == at and y not in seen:
-                        seen.add(y)
-                        todo.append(y)
-        return seen
-
-    want = {p for p in pairs if p[1] not in reach([q for q in pairs if q != p], p[0])}
-    table = graph.undirected(spark.createDataFrame(links, "a long, b long"), "a", "b").select("low", "high")
-    ends = graph.both_ways(table).select("node").distinct()
-    assert {tuple(r) for r in graph.bridges(ends, table).collect()} == want
-    assert {(r.node, r.component) for r in graph.components(ends, table).collect()} == {(n, min(reach(pairs, n))) for n in nodes}
-
-
 @pytest.fixture
 def stream_folder(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00", 5.0), (1, "2024-01-01 00:05:00", 9.0), (2, "2024-01-01 00:01:00", 1.0), (1, "2024-01-01 01:30:00", 2.0)]
@@ -131,12 +108,6 @@ def test_addresses(spark):
     assert v4 == ["0a0001ff", None, None]
 
 
-def test_trees_and_bridges_of_long_chains(spark):
-    pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 70)] + [(68, 70)], "low long, high long").repartition(2)
-    nodes = spark.range(1, 71).select(F.col("id").alias("node"))
-    assert {tuple(r) for r in graph.bridges(nodes, pairs).collect()} == {(i, i + 1) for i in range(1, 68)}
-
-
 def test_natural_order_of_long_numbers_and_long_tlv(spark):
     want = ["v2", "v010", "v999999999999", "v1000000000000", "v1000000000000x", "v1000000000001", "w1"]
     df = spark.createDataFrame([(x,) for x in reversed(want)], "v string")
