@@ -74,11 +74,11 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-CHUNKS = "doc_ids array<long>, learn binary, first binary, ids binary, classes binary, hashes array<long>, kinds array<short>, counts array<long>"
+CHUNKS = "doc_ids array<long>, learn binary, deal binary, first binary, ids binary, classes binary, hashes array<long>, kinds array<short>, counts array<long>"
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Rows of a chunk: its documents as numbers of its own words, and for its words (by hash) class and training count."""
+    """Rows of a chunk: its documents (``deal``: a hash of each one's words) as numbers of its own words, and for its words (by hash) class and training count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -91,12 +91,14 @@ def chunks(docs: DataFrame) -> DataFrame:
             doc_ids = pa.concat_arrays([x[0] for x in held])
             learn = np.concatenate([x[1] for x in held])
             words, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            first = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
             counts = np.bincount(inverse, weights=np.repeat(learn, lengths), minlength=len(words)).astype(np.int64)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             row = {
                 "doc_ids": one(doc_ids),
                 "learn": pa.array([learn.astype(np.uint8).tobytes()]),
-                "first": pa.array([np.concatenate([[0], np.cumsum(lengths)]).astype("<i8").tobytes()]),
+                "deal": pa.array([span_hashes(hashes, first[:-1], first[1:]).tobytes()]),
+                "first": pa.array([first.tobytes()]),
                 "ids": pa.array([planes(inverse)]),
                 "classes": pa.array([classes[at].astype("<u2").tobytes()]),
                 "hashes": one(pa.array(words.view(np.int64))),
@@ -231,7 +233,7 @@ def sequences(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def one_pass(table: DataFrame, model: Model, part: int = 0, parts: int = 1) -> tuple[Model, float, float]:
-    """One Baum-Welch step over the training documents (of one of some parts): the next model, and this one's logarithmic likelihood and tokens; the counts of all partitions meet in a sum by cell."""
+    """One Baum-Welch step over the training documents (of one of some parts, dealt by their words, so that it doesn't matter how rows lie in files): the next model, and this one's logarithmic likelihood and tokens; the counts of all partitions meet in a sum by cell."""
     shared = table.sparkSession.sparkContext.broadcast(model)  # of fixed size
     k = len(model.start)
     sizes = k + k * k + CLASSES * k
@@ -241,8 +243,7 @@ def one_pass(table: DataFrame, model: Model, part: int = 0, parts: int = 1) -> t
         for batch in batches:
             for row in batch.to_pylist():
                 _, classes, first, learn = sequences(row)
-                number = np.arange(len(learn), dtype=np.uint64) + np.uint64((row["chunk"] * 0x9E3779B97F4A7C15) % 2**64)
-                at = np.flatnonzero(learn & (mix(number) % np.uint64(parts) == part))
+                at = np.flatnonzero(learn & (np.frombuffer(row["deal"], np.uint64) % np.uint64(parts) == part))
                 if len(at):
                     n = np.diff(first)[at]
                     new = np.concatenate([[0], np.cumsum(n)])
@@ -252,7 +253,7 @@ def one_pass(table: DataFrame, model: Model, part: int = 0, parts: int = 1) -> t
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
-    counted = table.select("chunk", "learn", "first", "ids", "classes").mapInArrow(count, "cell long, n double")
+    counted = table.select("learn", "deal", "first", "ids", "classes").mapInArrow(count, "cell long, n double")
     found = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # a row for each parameter at most
     total = np.zeros(sizes + 2)
     total[found["cell"].to_numpy()] = found["n"].to_numpy()

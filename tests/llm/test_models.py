@@ -208,3 +208,11 @@ def test_scores_equal_brute_force(spark, documents, no_documents):
     assert hmm.score(no_documents.withColumn("learn", F.lit(True))).count() == 0
     unlearned = hmm.score(documents.where("doc_id < 5").withColumn("learn", F.lit(None).cast("boolean"))).collect()
     assert {r.n_known for r in unlearned} == {0}
+
+
+def test_hidden_markov_scores_do_not_depend_on_how_rows_lie(spark):
+    rows = [(i, " ".join(f"w{(i * k * k) % 23}" for k in range(5 + i % 40)), i % 10 != 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    found = [{r.doc_id: r.score for r in hmm.score(docs.repartition(n), states=3, rounds=4).collect()} for n in (1, 7)]
+    assert found[0].keys() == found[1].keys()
+    assert all(abs(found[0][i] - found[1][i]) <= 1e-6 * max(1, abs(found[0][i])) for i in found[0])
