@@ -45,24 +45,3 @@ class LastKnown:
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def counter_changes(stream: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """STR-07: change of each key's counter since its previous value, resets told apart, with state kept for each key."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(name, frames, state):
-        before = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values([time, value])
-        out = []
-        for at, now in zip(rows[time], rows[value], strict=True):
-            kind = "first" if before is None else "reset-detected" if now < before else "delta"
-            out.append((name[0], at, now, kind, now - before if kind == "delta" else None))
-            before = now
-        state.update((float(before),))
-        yield pd.DataFrame(out, columns=[key, time, value, "kind", "delta"])
-
-    schema = f"{key} long, {time} timestamp, {value} double, kind string, delta double"
-    rows = stream.select(F.col(key).cast("long"), F.col(time).cast("timestamp"), F.col(value).cast("double"))
-    return rows.groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)

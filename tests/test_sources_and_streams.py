@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from meshlake.operators import graph, relational
 from meshlake.sources import records
-from meshlake.streaming import state
+from meshlake.streaming import processors, queries, state
 
 
 def test_records_from_arrays_envelopes_and_objects(spark):
@@ -68,9 +68,46 @@ def test_windows_and_sessions(spark, stream_folder, tmp_path):
     assert {(r.k, r.n) for r in run(spark, state.sessions(s, "t", "k"), "s", tmp_path, "complete")} == {(1, 2), (2, 1), (1, 1)}
 
 
-def test_counter_state(spark, stream_folder, tmp_path):
-    found = run(spark, state.counter_changes(spark.readStream.schema(SCHEMA).parquet(stream_folder), "k", "t", "v"), "c", tmp_path)
-    assert sorted((r.k, r.v, r.kind, r.delta) for r in found if r.k == 1) == [(1, 2.0, "reset-detected", None), (1, 5.0, "first", None), (1, 9.0, "delta", 4.0)]
+def told(spark, folder, operator, name, tmp_path, mode):
+    """All rows of a stream with timers, after one more file each time that came later."""
+    stream = operator(spark.readStream.schema("id long, k long, t timestamp, v double").parquet(folder))
+    return [tuple(r) for r in queries.told(stream, f"{tmp_path}/{name}", mode).collect()]
+
+
+def put(spark, folder, rows):
+    spark.createDataFrame(rows, "id long, k long, t string, v double").selectExpr("id", "k", "CAST(t AS TIMESTAMP) AS t", "v").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_absences_go_on_after_a_restart(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    put(spark, folder, [(1, 1, "2024-01-01 05:00:00", 0.0), (2, 2, "2024-01-01 06:00:00", 0.0), (3, 2, "2024-01-03 06:00:00", 0.0)])
+    operator = lambda s: processors.absences(s, "k", "t")
+    first = told(spark, folder, operator, "a", tmp_path, "update")
+    assert sorted(first) == [(1, 19723, 0), (1, 19725, 2), (2, 19725, 0)]
+    put(spark, folder, [(4, 2, "2024-01-05 01:00:00", 0.0), (5, 1, "2024-01-02 00:00:00", 0.0)])  # the second is later than the watermark: dropped
+    again = told(spark, folder, operator, "a", tmp_path, "update")  # from its checkpoint
+    assert sorted(again) == [*sorted(first)[:1], (1, 19725, 2), (1, 19727, 4), (2, 19725, 0), (2, 19727, 0)]
+    put(spark, folder, [(6, 1, "2024-01-05 02:00:00", 0.0)])  # turns up on the last day counted
+    assert (1, 19727, 0) in told(spark, folder, operator, "a", tmp_path, "update")
+
+
+def test_forgotten_keys_are_told_once_more(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    put(spark, folder, [(1, 1, "2024-01-01 05:00:00", 0.0), (2, 2, "2024-01-04 06:00:00", 0.0)])
+    operator = lambda s: processors.absences(s, "k", "t", forget_after=3)
+    assert (1, 19726, 3) in told(spark, folder, operator, "f", tmp_path, "update")
+    put(spark, folder, [(3, 2, "2024-01-09 06:00:00", 0.0)])
+    assert [x for x in told(spark, folder, operator, "f", tmp_path, "update") if x[0] == 1 and x[1] > 19726] == []
+
+
+def test_counter_changes_in_event_time_over_batches(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    put(spark, folder, [(1, 1, "2024-01-01 00:00:00", 5.0), (2, 1, "2024-01-01 00:10:00", 9.0), (3, 2, "2024-01-01 00:10:00", 1.0)])
+    operator = lambda s: processors.counter_changes(s, "k", "t", "id", "v", "5 minutes")
+    assert told(spark, folder, operator, "c", tmp_path, "append") == [(1, 1, "first", None)]  # the watermark is at 00:05
+    put(spark, folder, [(4, 1, "2024-01-01 00:07:00", 3.0), (5, 1, "2024-01-01 00:30:00", 1.0), (6, 2, "2024-01-01 00:40:00", 1.0), (7, 1, "2024-01-01 00:01:00", 7.0)])  # out of order; too late
+    found = sorted(told(spark, folder, operator, "c", tmp_path, "append"), key=lambda x: x[1])
+    assert found == [(1, 1, "first", None), (1, 2, "delta", 6.0), (2, 3, "first", None), (1, 4, "reset-detected", None), (1, 5, "reset-detected", None)]
 
 
 def test_last_known_keeps_newer_rows(spark, stream_folder, tmp_path):
