@@ -1,4 +1,4 @@
-"""EVD-06, EVD-01: reconciliation of reports by field policies, each a merge that neither order nor grouping nor repeats of rows can change.
+"""EVD-06: reconciliation of reports by field policies, each a merge that neither order nor grouping nor repeats of rows can change.
 
 A policy table says for each field how reports of one record meet. Every policy is an aggregate over a lattice, so Spark takes partial
 aggregates before the shuffle, and merging merged records again gives the same as merging all reports at once:
@@ -40,6 +40,10 @@ def _filled(c: Column, value: Column) -> Column:
     return F.when(c.isNotNull(), value)
 
 
+def _all(f: str) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(f))))
+
+
 # for each policy: the columns of a partial state from a report, how states meet, and the field's value from a state
 State = dict[str, Column]
 POLICIES: dict[str, tuple[Callable[[str, Column], State], Callable[[str], State], Callable[[str], State]]] = {
@@ -55,11 +59,11 @@ POLICIES: dict[str, tuple[Callable[[str, Column], State], Callable[[str], State]
         lambda f: {f: F.min(f)},
         lambda f: {f: F.col(f)["text"]},
     ),
-    "union": (lambda f, at: {f: F.coalesce(f, F.array())}, lambda f: {f: F.array_sort(F.array_distinct(F.flatten(F.collect_set(f))))}, lambda f: {f: F.col(f)}),
+    "union": (lambda f, at: {f: F.col(f)}, lambda f: {f: _all(f)}, lambda f: {f: F.col(f)}),
     "agreed": (
-        lambda f, at: {f: known(F.col(f)), f"{f}_conflict": F.lit(None).cast("array<string>")},
-        lambda f: {f: F.array_sort(F.array_distinct(F.concat(F.collect_set(f), F.flatten(F.collect_set(f"{f}_conflict")))))},
-        lambda f: {f: F.when(F.size(f) == 1, F.col(f)[0]), f"{f}_conflict": F.when(F.size(f) > 1, F.col(f))},
+        lambda f, at: {f: _filled(known(F.col(f)), F.array(f))},
+        lambda f: {f: _all(f)},
+        lambda f: {f: F.when(F.size(f) == 1, F.get(F.col(f), F.lit(0))), f"{f}_conflict": F.when(F.size(f) > 1, F.col(f))},
     ),
     "newest": (lambda f, at: {f: _filled(F.col(f), F.struct(at.alias("at"), F.col(f).alias("value")))}, lambda f: {f: F.max(f)}, lambda f: {f: F.col(f)["value"]}),
 }
@@ -78,11 +82,7 @@ def met(rows: DataFrame, key: Sequence[str], policy: dict[str, str]) -> DataFram
     aggs: State = {}
     for field, name in policy.items():
         aggs |= POLICIES[name][1](field)
-    found = rows.groupBy(*key).agg(*(c.alias(n) for n, c in aggs.items()))
-    for field, name in policy.items():
-        if name == "agreed":  # all values so far, as conflicts are kept
-            found = found.withColumn(f"{field}_conflict", F.col(field)).withColumn(field, F.lit(None).cast("string"))
-    return found
+    return rows.groupBy(*key).agg(*(c.alias(n) for n, c in aggs.items()))
 
 
 def resolved(rows: DataFrame, key: Sequence[str], policy: dict[str, str]) -> DataFrame:
@@ -90,37 +90,9 @@ def resolved(rows: DataFrame, key: Sequence[str], policy: dict[str, str]) -> Dat
     out: State = {}
     for field, name in policy.items():
         out |= POLICIES[name][2](field)
-    agreed = [f for f, name in policy.items() if name == "agreed"]
-    rows = rows.withColumns({f: F.col(f"{f}_conflict") for f in agreed}) if agreed else rows
     return rows.select(*key, *(c.alias(n) for n, c in out.items()))
 
 
 def reconciled(reports: DataFrame, key: Sequence[str], policy: dict[str, str], at: str) -> DataFrame:
     """EVD-06: one record of a key from all of its reports."""
     return resolved(met(states(reports, key, policy, at), key, policy), key, policy)
-
-
-# --- availability (EVD-01)
-
-#: What a diagnostic run says about a device, from least to most.
-AVAILABILITY = ("unknown", "unavailable", "not-attempted", "missing", "available")
-
-
-def availability(runs: DataFrame, records: DataFrame, keep_for: int) -> DataFrame:
-    """EVD-01: run, device, outcome: the most that the records bound to a run say about each of its devices.
-
-    runs: run, device, started, ended, attempted, supported. records: device, run (may be null), at. A record is bound by its run's id, without one by device and time
-    within the run. A device with a bound record is available; asked without an answer it is missing, or unknown where the run hasn't ended;
-    without being asked it is unavailable if the run can't ask it, else not-attempted. ``keep_for`` seconds after the run's end a record still counts.
-    """
-    rank = {name: i for i, name in enumerate(AVAILABILITY)}
-    # a record without an id meets the runs of its device in its own and the next bucket of the longest run's length
-    by_id = records.where("run IS NOT NULL").select("run", "device").distinct()
-    timed = records.where("run IS NULL").select("device", F.col("at"))
-    nearest = runs.select("run", "device", "started", (F.coalesce("ended", F.current_timestamp()) + F.make_dt_interval(secs=F.lit(keep_for))).alias("until"))
-    by_time = timed.join(nearest, "device").where("at >= started AND at <= until").select("run", "device").distinct()
-    bound = by_id.union(by_time).distinct().withColumn("bound", F.lit(True))
-    own = F.when(~F.col("supported"), rank["unavailable"]).when(~F.col("attempted"), rank["not-attempted"]).when(F.col("ended").isNull(), rank["unknown"]).otherwise(rank["missing"])
-    level = F.greatest(own, F.when(F.col("bound"), F.lit(rank["available"])))
-    found = runs.join(bound, ["run", "device"], "left").groupBy("run", "device").agg(F.max(level).alias("level"))
-    return found.select("run", "device", F.element_at(F.array(*map(F.lit, AVAILABILITY)), F.col("level") + 1).alias("outcome"))
