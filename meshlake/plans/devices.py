@@ -1,4 +1,4 @@
-"""Parsers over literal texts, merges of entries, identity guards, rules and orders of devices, each with its SQL oracle."""
+"""Printed texts read back, merges of entries, identity guards, rules and orders of devices, each with its SQL oracle."""
 
 from __future__ import annotations
 
@@ -11,87 +11,106 @@ from meshlake.sources import records
 from meshlake.sources import sections as S
 from meshlake.sources.tables import table
 
-#: A diagnostic text of a router, one of a device that tells little, and an empty one.
-TEXTS = [
-    (
-        "0x1c00",
-        "Mode: rdn\nLeader Data:\n  PartitionId: 77\n  Weighting: 64\n  DataVersion: 5\n  LeaderRouterId: 7\nRoute:\n  IdSequence: 12\n  - RouterId: 7\n    LinkQualityOut: 3\n    LinkQualityIn: 2\n    RouteCost: 1\n"
-        "  - RouterId: 9\n    LinkQualityOut: 0\n    LinkQualityIn: 1\n    RouteCost: 4\nIPv6 Address List:\n  - fd00::1\n  - fe80::2\n  - fd00::1\n",
-    ),
-    ("0x2400", "Mode: -\nLeader Data:\n  PartitionId: 78\n"),
-    ("0x2800", None),
-]
-CHILDREN = (
-    "| ID  | RLOC16 | Timeout | Age | LQ In |\n+-----+--------+---------+-----+-------+\n|   1 | 0x1c01 |     240 |  24 |     3 |\n|   2 |      - |     240 |   3 |     2 |\n"
-    "|   x | broken |\n|  17 | 0x1c11 |      10 |   0 |     1 |\nDone\n"
-)
-COUNTERS = "TxTotal: 200\n    TxErrCca: 6\nRxTotal: 90\nRole Router: 750\nRole Child: 250\nRole Detached: 0\n"
+# --- printed texts: every order is printed as a device would print itself, and read back
+
+
+def printed(spark: SparkSession, sf_dir: str, line: str, head: str = "", tail: str = "") -> DataFrame:
+    """l_orderkey and text: the lines of each order in order, each printed by a SQL expression, between a head and a tail."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*order, F.expr(line).alias("text")).alias("x"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["text"]), "")
+    return lines.groupBy("l_orderkey").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("text"))
 
 
-def texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEXTS, "rloc16 string, text string")
+#: The place of a line within its order.
+PLACED = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS place FROM lineitem"
 
 
-@register("src08_child_table", "SELECT * FROM (VALUES ('0x1c00', 1, '0x1c01', 240, 24, 3), ('0x1c00', 2, '0x1c02', 240, 3, 2), ('0x1c00', 17, '0x1c11', 10, 0, 1)) AS t(parent, id, rloc16, timeout, age, lq_in)")
+@register(
+    "src08_child_table",
+    """SELECT l_orderkey, format('0x{:04x}', (l_orderkey % 60) * 1024) AS parent, l_linenumber AS id, format('0x{:04x}', CASE WHEN l_linenumber % 4 = 0 THEN (l_orderkey % 60) * 1024 + l_linenumber ELSE l_partkey % 65536 END) AS rloc16,
+    240 AS timeout, CAST(l_quantity AS INT) AS age, l_linenumber % 4 AS lq_in FROM lineitem""",
+)
 def src08_child_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-08: the children of a printed table."""
-    return S.child_rows(spark.createDataFrame([("0x1c00", CHILDREN), ("0x2000", None)], "parent string, text string"), "text", "parent")
+    """SRC-08: the children of printed tables; where one has no address it is its parent's with its id; a broken row goes."""
+    address = "CASE WHEN l_linenumber % 4 = 0 THEN '     -' ELSE concat('0x', lower(lpad(hex(l_partkey % 65536), 4, '0'))) END"
+    head = "| ID  | RLOC16 | Timeout | Age | LQ In |\n+-----+--------+---------+-----+-------+\n"
+    files = printed(spark, sf_dir, f"concat('| ', lpad(l_linenumber, 3, ' '), ' | ', {address}, ' |     240 | ', lpad(int(l_quantity), 3, ' '), ' | ', l_linenumber % 4, ' |\n')", head, "|   x | broken |\nDone\n")
+    files = files.withColumn("parent", F.expr("concat('0x', lower(lpad(hex((l_orderkey % 60) * 1024), 4, '0')))"))
+    return S.child_rows(files, "text", "parent", ["l_orderkey"])
 
 
-@register("src09_counters", "SELECT 200 AS tx_total, 6 AS tx_errors, CAST(NULL AS BIGINT) AS absent, 3.0 AS error_percent")
+@register(
+    "src09_counters",
+    "SELECT o_orderkey, o_orderkey + 1 AS tx_total, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS tx_errors, CASE WHEN o_orderstatus <> 'P' THEN ROUND(100 * o_custkey / (o_orderkey + 1), 6) END AS error_percent FROM orders",
+)
 def src09_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-09/10/16: counters behind their names, and a ratio of two."""
-    rows = spark.createDataFrame([(COUNTERS,)], "text string")
-    found = rows.select(records.tokens("text", "TxTotal").alias("tx_total"), records.tokens("text", "TxErrCca").alias("tx_errors"), records.tokens("text", "RxErr").alias("absent"))
-    return found.withColumn("error_percent", 100 * F.col("tx_errors") / F.col("tx_total"))
+    """SRC-09/10/16: counters behind their names in printed lists, null where a list lacks them, and a ratio of two."""
+    text = "concat('TxTotal: ', o_orderkey + 1, '\nTxTotalOther: 5\n', CASE WHEN o_orderstatus <> 'P' THEN concat('    TxErrCca: ', o_custkey, '\n') ELSE 'TxErrCca: none\n' END, 'RxTotal: 90\n')"
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(text).alias("text"))
+    found = rows.select("o_orderkey", records.tokens("text", "TxTotal").alias("tx_total"), records.tokens("text", "TxErrCca").alias("tx_errors"))
+    return found.withColumn("error_percent", F.round(100 * F.col("tx_errors") / F.col("tx_total"), 6))
 
 
-@register("src11_time_shares", "SELECT 75.0 AS router_percent, 25.0 AS child_percent, 0.0 AS detached_percent")
+@register(
+    "src11_time_shares",
+    """WITH n AS (SELECT l_orderkey, COUNT(*) FILTER (l_returnflag = 'N') AS a, COUNT(*) FILTER (l_returnflag = 'R') AS b, COUNT(*) AS n FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, floor(1000 * a / n + 0.5) / 10 AS router_percent, floor(1000 * b / n + 0.5) / 10 AS child_percent, floor(1000 * (n - a - b) / n + 0.5) / 10 AS detached_percent FROM n""",
+)
 def src11_time_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-11: role times as percent of the tracked time."""
-    rows = spark.createDataFrame([(COUNTERS,)], "text string")
-    shares = records.time_shares("text", ["Role Router", "Role Child", "Role Detached"])
-    return rows.select(*shares).toDF("router_percent", "child_percent", "detached_percent")
+    """SRC-11: role times of printed lists as percent of the tracked time."""
+    roles = {"Role Router": "N", "Role Child": "R", "Role Detached": "A"}
+    texts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat(*(x for r, flag in roles.items() for x in (F.lit(f"{r}: "), F.count_if(F.col("l_returnflag") == flag).cast("string"), F.lit("\n")))).alias("text"))
+    return texts.select("l_orderkey", *records.time_shares("text", list(roles))).toDF("l_orderkey", "router_percent", "child_percent", "detached_percent")
 
 
 @register(
     "src12_leader_data",
-    "SELECT * FROM (VALUES ('0x1c00', 77, 64, 5, 7), ('0x2400', 78, NULL, NULL, NULL), ('0x2800', NULL, NULL, NULL, NULL)) AS t(rloc16, partition_id, weighting, data_version, leader_router_id)",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN o_custkey END AS partition_id, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 3 = 0 THEN 64 END AS weighting, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 256 END AS data_version,
+    CAST(NULL AS BIGINT) AS leader_router_id FROM orders""",
 )
 def src12_leader_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-12: the leader section of a text."""
-    return texts(spark).select("rloc16", S.leader_data(F.col("text")).alias("x")).select("rloc16", "x.*")
+    """SRC-12: the leader sections of printed texts; what a section lacks is null, whatever stands in other sections."""
+    inside = "concat('Leader Data:\n  PartitionId: ', o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN '\n  Weighting: 64' ELSE '' END, '\n  DataVersion: ', o_orderkey % 256, '\nOther:\n  LeaderRouterId: 9\n')"
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(f"CASE WHEN o_orderkey % 7 > 0 THEN {inside} WHEN o_orderkey % 2 = 0 THEN 'Mode: rdn\n' END").alias("text"))
+    return rows.select("o_orderkey", S.leader_data(F.col("text")).alias("x")).select("o_orderkey", "x.*")
 
 
-@register("src13_route_entries", "SELECT * FROM (VALUES ('0x1c00', 12, 0, 7, 3, 2, 1), ('0x1c00', 12, 1, 9, 0, 1, 4)) AS t(rloc16, id_sequence, place, router_id, lq_out, lq_in, cost)")
+@register("src13_route_entries", f"WITH p AS ({PLACED}) SELECT l_orderkey, 12 AS id_sequence, place, l_suppkey AS router_id, l_linenumber % 4 AS lq_out, l_linenumber % 3 AS lq_in, CAST(l_quantity AS BIGINT) AS cost FROM p")
 def src13_route_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-13: the entries of a route section."""
-    return S.route_entries(texts(spark), "text", "rloc16")
+    """SRC-13: the entries of printed route sections."""
+    entry = "concat('  - RouterId: ', l_suppkey, '\n    LinkQualityOut: ', l_linenumber % 4, '\n    LinkQualityIn: ', l_linenumber % 3, '\n    RouteCost: ', int(l_quantity), '\n')"
+    return S.route_entries(printed(spark, sf_dir, entry, "Mode: rdn\nRoute:\n  IdSequence: 12\n", "IPv6 Address List:\n  - fd00::1\n"), "text", "l_orderkey")
 
 
 @register(
     "src14_mode_and_addresses",
-    "SELECT * FROM (VALUES ('0x1c00', true, true, true, 'fd00::1,fe80::2'), ('0x2400', false, false, false, ''), ('0x2800', NULL, NULL, NULL, NULL)) AS t(rloc16, rx_on, full_device, full_data, addresses)",
+    f"""WITH p AS ({PLACED}), a AS (SELECT l_orderkey, format('fd00::{{:x}}', l_suppkey % 3) AS address, MIN(place) AS place FROM p GROUP BY 1, 2)
+    SELECT l_orderkey, l_orderkey % 2 = 0 AS rx_on, l_orderkey % 3 = 0 AS full_device, l_orderkey % 5 = 0 AS full_data, string_agg(address, ',' ORDER BY place) AS addresses FROM a GROUP BY l_orderkey""",
 )
 def src14_mode_and_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-14: mode flags and the list of addresses."""
-    rows = texts(spark).select("rloc16", S.mode_flags(F.col("text")).alias("m"), F.array_join(S.addresses(F.col("text")), ",").alias("addresses"))
-    return rows.select("rloc16", "m.*", "addresses")
+    """SRC-14: mode flags of printed texts and their lists of addresses, each once."""
+    rows = printed(spark, sf_dir, "concat('  - fd00::', lower(hex(l_suppkey % 3)), '\n')", "IPv6 Address List:\n")
+    letters = "concat(CASE WHEN l_orderkey % 2 = 0 THEN 'r' ELSE '' END, CASE WHEN l_orderkey % 3 = 0 THEN 'd' ELSE '' END, CASE WHEN l_orderkey % 5 = 0 THEN 'n' ELSE '' END)"
+    rows = rows.withColumn("text", F.expr(f"concat('Mode: ', coalesce(nullif({letters}, ''), '-'), '\n', text)"))
+    return rows.select("l_orderkey", S.mode_flags(F.col("text")).alias("m"), F.array_join(S.addresses(F.col("text")), ",").alias("addresses")).select("l_orderkey", "m.*", "addresses")
 
 
-@register("src15_tlv", "SELECT * FROM (VALUES (1, 0, 1, 2, 'abcd'), (1, 1, 7, 0, ''), (1, 2, 255, 1, '09')) AS t(id, place, type, length, value)")
+@register("src15_tlv", f"WITH p AS ({PLACED}) SELECT l_orderkey, place, l_linenumber * 10 AS type, l_linenumber % 2 * 2 AS length, CASE WHEN l_linenumber % 2 = 1 THEN format('{{:04x}}', l_suppkey % 65536) ELSE '' END AS value FROM p")
 def src15_tlv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-15: type, length and value of a hex payload's entries; one that reaches past the end ends the list."""
-    rows = spark.createDataFrame([(1, "0102ABCD0700ff01090809ff"), (2, None), (3, "")], "id int, payload string")
-    return rows.select("id", F.posexplode(records.tlv(F.col("payload"))).alias("place", "x")).select("id", "place", "x.type", "x.length", "x.value")
+    """SRC-15: type, length and value of the entries of hex payloads; one that reaches past the end ends the list."""
+    entry = "concat(lpad(hex(l_linenumber * 10), 2, '0'), CASE WHEN l_linenumber % 2 = 1 THEN concat('02', lpad(hex(l_suppkey % 65536), 4, '0')) ELSE '00' END)"
+    rows = printed(spark, sf_dir, entry, "", "0908FF")
+    return rows.select("l_orderkey", F.posexplode(records.tlv(F.col("text"))).alias("place", "x")).select("l_orderkey", "place", "x.type", "x.length", "x.value")
 
 
-@register("src23_router_table", "SELECT * FROM (VALUES (7, '0x1c00', 63, 0), (9, '0x2400', 7, 1)) AS t(id, rloc16, next_hop, cost)")
+@register("src23_router_table", "SELECT l_orderkey, l_linenumber AS id, format('0x{:04x}', l_suppkey % 64 * 1024) AS rloc16, 63 - l_linenumber AS next_hop, CAST(l_quantity AS INT) AS cost FROM lineitem")
 def src23_router_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-23: the rows of a printed router table."""
-    text = "| ID | RLOC16 | Next Hop | Path Cost |\n+----+--------+----------+-----------+\n|  7 | 0x1c00 |       63 |         0 |\n|  9 | 0x2400 |        7 |         1 |\n\nDone"
-    rows = records.table_rows(spark.createDataFrame([(text,)], "text string"), "text", ["id", "rloc16", "next_hop", "cost"])
-    return rows.select(F.col("id").cast("int"), "rloc16", F.col("next_hop").cast("int"), F.col("cost").cast("int"))
+    """SRC-23: the rows of printed router tables."""
+    line = "concat('|  ', l_linenumber, ' | 0x', lower(lpad(hex(l_suppkey % 64 * 1024), 4, '0')), ' |       ', 63 - l_linenumber, ' |  ', int(l_quantity), ' |\n')"
+    files = printed(spark, sf_dir, line, "| ID | RLOC16 | Next Hop | Path Cost |\n+----+--------+----------+-----------+\n", "\nDone")
+    rows = records.table_rows(files, "text", ["id", "rloc16", "next_hop", "cost"])
+    return rows.select("l_orderkey", F.col("id").cast("int"), "rloc16", F.col("next_hop").cast("int"), F.col("cost").cast("int"))
 
 
 LINES = """SELECT l_orderkey AS owner, CASE WHEN l_linenumber % 3 > 0 THEN l_partkey END AS ext, l_suppkey AS rloc, l_linenumber AS rank, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS mode,

@@ -431,11 +431,11 @@ def grf04_best_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "grf11_isolated",
-    f"SELECT s_suppkey AS node FROM supplier WHERE s_suppkey NOT IN (SELECT a FROM ({TRADE}))",
+    "SELECT p_partkey + 10000000 AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem GROUP BY l_suppkey, l_partkey HAVING SUM(l_quantity) >= 80)",
 )
 def grf11_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRF-11: suppliers without links."""
-    return G.isolated(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")), G.undirected(trade(spark, sf_dir), "a", "b"))
+    """GRF-11: parts without a strong link."""
+    return G.isolated(table(spark, sf_dir, "part").select((F.col("p_partkey") + 10_000_000).alias("node")), strong(spark, sf_dir))
 
 
 def strong(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,6 +482,27 @@ def grf01_cut_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.cut_parts(strong_blocks(spark, sf_dir))
 
 
+@register(
+    "rul04_path_redundancy",
+    f"""WITH RECURSIVE {AROUND}, whole(start, node) AS (SELECT DISTINCT node, node FROM around UNION SELECT w.start, a.other FROM whole w JOIN around a ON a.node = w.node),
+    networks AS (SELECT node, MIN(start) AS network FROM whole GROUP BY node),
+    reached(cut, start, node) AS (SELECT node, other, other FROM around UNION SELECT r.cut, r.start, a.other FROM reached r JOIN around a ON a.node = r.node WHERE a.other <> r.cut),
+    firsts AS (SELECT cut, start, MIN(node) AS part FROM reached GROUP BY cut, start), cuts AS (SELECT cut FROM firsts GROUP BY cut HAVING MIN(part) <> MAX(part)),
+    lost(low, high, node) AS (SELECT low, high, low FROM links UNION SELECT r.low, r.high, a.other FROM lost r JOIN around a ON a.node = r.node WHERE NOT (r.low = least(a.node, a.other) AND r.high = greatest(a.node, a.other))),
+    bridges AS (SELECT low FROM lost GROUP BY low, high HAVING NOT bool_or(node = high)),
+    sizes AS (SELECT network, COUNT(*) AS routers FROM networks GROUP BY network), c AS (SELECT network, COUNT(*) AS n FROM cuts JOIN networks ON node = cut GROUP BY network), b AS (SELECT network, COUNT(*) AS n FROM bridges JOIN networks ON node = low GROUP BY network)
+    SELECT s.network, routers, COALESCE(b.n, 0) AS bridges, COALESCE(c.n, 0) AS cuts, CASE WHEN COALESCE(b.n, 0) + COALESCE(c.n, 0) > 0 THEN 'MODERATE' ELSE 'STRONG' END AS verdict FROM sizes s LEFT JOIN b USING (network) LEFT JOIN c USING (network)""",
+)
+def rul04_path_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUL-04: redundancy of each network's paths, from its bridges and cut nodes."""
+    found = strong_blocks(spark, sf_dir)
+    cuts = B.cut_parts(found).select("node").distinct().withColumn("cut", F.lit(1))
+    each = found.join(cuts, "node", "left").groupBy(F.col("root").alias("network")).agg(
+        F.count("*").alias("routers"), F.count("parent").alias("links"), F.count_if(F.expr("parent IS NOT NULL AND low >= depth")).alias("bridges"), F.count("cut").alias("cuts")
+    )
+    return each.select("network", "routers", "bridges", "cuts", U.path_redundancy(F.col("routers"), F.col("links"), F.col("bridges") + F.col("cuts")).alias("verdict"))
+
+
 @register(
     "grf03_depths",
     f"""WITH RECURSIVE {AROUND}, reached(start, node) AS (SELECT DISTINCT node, node FROM around UNION SELECT r.start, a.other FROM reached r JOIN around a ON a.node = r.node),
@@ -551,11 +572,11 @@ def mut02_roster_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "mut05_purge_counts",
-    "SELECT o_orderstatus, COUNT(DISTINCT o_orderkey) AS orders, COUNT(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '1994-01-01' GROUP BY o_orderstatus",
+    "SELECT o_orderstatus, COUNT(DISTINCT o_orderkey) AS orders, COUNT(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY o_orderstatus",
 )
 def mut05_purge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MUT-05: what a purge up to a cut-off would delete, with its dependents."""
-    old = table(spark, sf_dir, "orders").where("o_orderdate < TIMESTAMP_NTZ '1994-01-01 00:00:00'").select("o_orderkey", "o_orderstatus")
+    old = table(spark, sf_dir, "orders").where("o_orderdate < TIMESTAMP_NTZ '1996-01-01 00:00:00'").select("o_orderkey", "o_orderstatus")
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
     return old.join(lines, "o_orderkey", "left").groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
 

@@ -233,17 +233,22 @@ def agg26_merge_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "agg31_service_groups",
-    "SELECT l_orderkey, COUNT(*) AS services FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey HAVING COUNT(*) >= 2 AND COUNT(DISTINCT l_returnflag) <= 1",
+    "SELECT l_orderkey, COUNT(*) AS services FROM lineitem GROUP BY l_orderkey HAVING COUNT(*) >= 2 AND COUNT(DISTINCT l_returnflag) <= 1",
 )
 def agg31_service_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-31: groups of two or more services that don't disagree about their address."""
-    g = table(spark, sf_dir, "lineitem").where("l_quantity > 25").groupBy("l_orderkey").agg(F.count("*").alias("services"), F.count_distinct("l_returnflag").alias("n"))
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("services"), F.count_distinct("l_returnflag").alias("n"))
     return g.where("services >= 2 AND n <= 1").select("l_orderkey", "services")
 
 
-@register("agg07_serial_merge")
+@register(
+    "agg07_serial_merge",
+    """WITH r AS (SELECT l_orderkey, list({'serial': CAST(l_partkey % 256 AS INT), 'supp': l_suppkey} ORDER BY l_linenumber, l_partkey % 256, l_suppkey) AS routes FROM lineitem GROUP BY l_orderkey),
+    f AS (SELECT l_orderkey, list_reduce(routes, lambda held, x: CASE WHEN ((x.serial - held.serial) % 256 + 256) % 256 BETWEEN 1 AND 127 THEN x ELSE held END) AS r FROM r)
+    SELECT l_orderkey, r.serial AS serial, r.supp AS supp FROM f""",
+)
 def agg07_serial_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-07/MTH-F05: routes merged in source order: a newer serial number replaces, an older one is dropped (the order isn't transitive, so it is a fold; tests compare it)."""
+    """AGG-07/MTH-F05: routes merged in source order: a newer serial number replaces, an older one is dropped (the order isn't transitive, so it is a fold)."""
     routes = F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 256).cast("int").alias("serial"), "l_suppkey")))
     start = F.struct(F.lit(None).cast("int").alias("serial"), F.lit(None).cast("long").alias("supp"))
 
@@ -273,17 +278,6 @@ def srt03_address_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rules and evidence
 
 
-@register(
-    "rul04_path_redundancy",
-    "SELECT n_name, CASE WHEN COUNT(DISTINCT s_suppkey) < 2 THEN 'UNKNOWN' WHEN COUNT(DISTINCT s_suppkey) < 4 THEN 'MODERATE' ELSE 'STRONG' END AS verdict FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name",
-)
-def rul04_path_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RUL-04: redundancy of paths from routers, links and cuts."""
-    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("routers"))
-    out = table(spark, sf_dir, "nation").join(s, "n_nationkey", "left").na.fill(0, ["routers"])
-    return out.select("n_name", U.path_redundancy(F.col("routers"), F.col("routers"), (F.col("routers") < 4).cast("int")).alias("verdict"))
-
-
 @register(
     "rul11_missing_devices",
     """WITH seen AS (SELECT user_id, MAX(CAST(ts AS DATE)) AS day FROM events GROUP BY 1), last AS (SELECT MAX(CAST(ts AS DATE)) AS day FROM events)
@@ -301,13 +295,13 @@ def rul11_missing_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "rul19_error_ratios",
-    """WITH e AS (SELECT l_suppkey, SUM(l_discount) AS bad, SUM(l_quantity) AS total FROM lineitem WHERE l_tax > 0.07 GROUP BY 1)
-    SELECT l_suppkey, CASE WHEN NOT total > 0 THEN 'not-evaluable' WHEN bad / total >= 0.0022 THEN 'critical' WHEN bad / total >= 0.0018 THEN 'unstable' ELSE 'normal' END AS band FROM e""",
+    """WITH e AS (SELECT l_suppkey, SUM(l_discount) AS bad, SUM(l_quantity) AS total FROM lineitem GROUP BY 1)
+    SELECT l_suppkey, CASE WHEN NOT total > 0 THEN 'not-evaluable' WHEN bad / total >= 0.00203 THEN 'critical' WHEN bad / total >= 0.00194 THEN 'unstable' ELSE 'normal' END AS band FROM e""",
 )
 def rul19_error_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RUL-17..19: ratios graded where their denominator is positive."""
-    e = table(spark, sf_dir, "lineitem").where("l_tax > 0.07").groupBy("l_suppkey").agg(F.sum("l_discount").alias("bad"), F.sum("l_quantity").alias("total"))
-    band = F.when(~(F.col("total") > 0), "not-evaluable").otherwise(U.graded(F.col("bad") / F.col("total"), [(0.0018, "unstable"), (0.0022, "critical")], "normal"))
+    e = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum("l_discount").alias("bad"), F.sum("l_quantity").alias("total"))
+    band = F.when(~(F.col("total") > 0), "not-evaluable").otherwise(U.graded(F.col("bad") / F.col("total"), [(0.00194, "unstable"), (0.00203, "critical")], "normal"))
     return e.select("l_suppkey", band.alias("band"))
 
 
@@ -335,11 +329,11 @@ def evd07_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "evd08_first_occurrence",
-    "SELECT l_suppkey, l_partkey, MIN(l_orderkey * 10 + l_linenumber) AS kept, COUNT(*) - 1 AS skipped FROM lineitem WHERE l_quantity > 10 GROUP BY 1, 2",
+    "SELECT l_suppkey, l_partkey, MIN(l_orderkey * 10 + l_linenumber) AS kept, COUNT(*) - 1 AS skipped FROM lineitem GROUP BY 1, 2",
 )
 def evd08_first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVD-08: the first of a device's entries is kept, later ones are counted."""
-    return table(spark, sf_dir, "lineitem").where("l_quantity > 10").groupBy("l_suppkey", "l_partkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("kept"), (F.count("*") - 1).alias("skipped"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("kept"), (F.count("*") - 1).alias("skipped"))
 
 
 @register(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meshlake.operators import coverage as V
 from meshlake.operators import lattice as L
 from meshlake.operators import prints as P
+from meshlake.operators.pairs import PairStore, revision_at
 from meshlake.plans.catalog import register
 from meshlake.sources.shared import new_folder
 from meshlake.sources.tables import table
@@ -126,3 +127,50 @@ def str10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, token = P.page(orders, ["o_orderdate", "o_orderkey"], size, token)
         pages.append(rows.select("o_orderkey", F.lit(len(pages)).cast("long").alias("page")))
     return reduce(DataFrame.union, pages)
+
+
+@register(
+    "cmp10_stored_pairs",
+    """WITH s AS (SELECT CAST(ts AS DATE) AS day, user_id, ROUND(SUM(value), 2) AS s FROM events GROUP BY 1, 2), v AS (SELECT day, user_id, s + CASE WHEN day = DATE '2024-01-10' THEN 1 ELSE 0 END AS v FROM s),
+    d AS (SELECT day, lag(day) OVER (ORDER BY day) AS before FROM (SELECT DISTINCT day FROM v)),
+    a AS (SELECT d.before AS older_at, d.day AS newer_at, user_id, v AS x FROM d JOIN v ON v.day = d.before), b AS (SELECT d.before AS older_at, d.day AS newer_at, user_id, v AS y FROM d JOIN v ON v.day = d.day WHERE d.before IS NOT NULL)
+    SELECT older_at, newer_at, user_id, x AS before, y AS after, CASE WHEN x IS NULL THEN 'appeared' WHEN y IS NULL THEN 'disappeared' ELSE 'changed' END AS change, (SELECT concat(COUNT(*) - 1, ',0,2') FROM d) AS derived
+    FROM a FULL JOIN b USING (older_at, newer_at, user_id) WHERE x IS NULL OR y IS NULL OR x <> y""",
+)
+def cmp10_stored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CMP-10/MUT-08: each day compared with the one before it, three times: all pairs are derived, then none, then the two of a day that has changed."""
+    day = F.to_date("ts")
+    rows = table(spark, sf_dir, "events").groupBy(day.alias("day"), "user_id").agg(F.round(F.sum("value"), 2).alias("v"))
+    changed = rows.withColumn("v", F.col("v") + F.when(F.col("day") == F.lit("2024-01-10").cast("date"), 1).otherwise(0))
+    store = PairStore(spark, new_folder(spark, "pairs"))
+    derived = [store.update(x, "day", "user_id", "v") for x in (rows, rows, changed)]
+    return store.read(changed, "day").withColumn("derived", F.lit(",".join(map(str, derived))))
+
+
+CONTRACTS = """WITH m AS (SELECT DISTINCT o_orderpriority AS priority, o_orderstatus AS status, CAST(date_trunc('quarter', o_orderdate) AS TIMESTAMP) AS q FROM orders),
+    r AS (SELECT priority, CAST(NULL AS VARCHAR) AS status, q FROM m WHERE priority < '3' GROUP BY ALL UNION ALL SELECT NULL, status, q FROM m WHERE status = 'F' AND month(q) = 1 GROUP BY ALL UNION ALL SELECT priority, status, q FROM m WHERE priority LIKE '2%' AND status = 'P' AND month(q) = 7
+      UNION ALL SELECT NULL, NULL, MIN(q) + INTERVAL 1 YEAR FROM m)"""
+
+
+@register(
+    "evd13_revisions",
+    f"""{CONTRACTS}, v AS (SELECT priority, status, q AS valid_from, lead(q) OVER (PARTITION BY priority, status ORDER BY q) AS valid_to, concat_ws('/', coalesce(priority, '*'), coalesce(status, '*'), CAST(year(q) * 12 + month(q) AS VARCHAR)) AS revision FROM r)
+    SELECT o_orderkey, arg_max(revision, ((priority IS NOT NULL)::INT + (status IS NOT NULL)::INT, valid_from, revision)) FILTER (revision IS NOT NULL) AS revision
+    FROM orders LEFT JOIN v ON o_orderdate >= valid_from AND (valid_to IS NULL OR o_orderdate < valid_to) AND coalesce(priority, o_orderpriority) = o_orderpriority AND coalesce(status, o_orderstatus) = o_orderstatus GROUP BY o_orderkey""",
+)
+def evd13_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVD-13: the contract that held for each order at its date: chains of quarterly revisions by priority, by status, by both, and for all from the second year on."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    quarters = orders.select("priority", "status", F.date_trunc("quarter", "o_orderdate").alias("q")).distinct()
+    none = F.lit(None).cast("string")
+    kinds = [
+        quarters.where("priority < '3'").select("priority", none.alias("status"), "q"),
+        quarters.where("status = 'F' AND month(q) = 1").select(none.alias("priority"), "status", "q"),
+        quarters.where("priority LIKE '2%' AND status = 'P' AND month(q) = 7").select("priority", "status", "q"),
+        quarters.agg((F.min("q") + F.expr("INTERVAL '1' YEAR")).alias("q")).select(none.alias("priority"), none.alias("status"), "q"),
+    ]
+    begun = reduce(DataFrame.union, kinds).distinct()
+    chain = Window.partitionBy("priority", "status").orderBy("q")  # a row for each quarter
+    name = F.concat_ws("/", F.coalesce("priority", F.lit("*")), F.coalesce("status", F.lit("*")), (F.year("q") * 12 + F.month("q")).cast("string"))
+    revisions = begun.select("priority", "status", F.col("q").alias("valid_from"), F.lead("q").over(chain).alias("valid_to"), name.alias("revision"))
+    return revision_at(orders, revisions, "o_orderdate", ["priority", "status"]).select("o_orderkey", "revision")

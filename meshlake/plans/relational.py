@@ -51,13 +51,13 @@ def jon03_semi_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "jon04_anti_orphans",
     """SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
-    UNION ALL SELECT 'part', p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)""",
+    UNION ALL SELECT 'order', o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""",
 )
 def jon04_anti_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-04: customers without orders and parts without line items."""
+    """JON-04: customers without orders and orders without a returned line."""
     customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-    parts = table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_anti")
-    return customers.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id")).union(parts.select(F.lit("part"), "p_partkey"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+    return customers.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id")).union(orders.select(F.lit("order"), "o_orderkey"))
 
 
 @register(

@@ -6,6 +6,8 @@ lines give repeated rows; other columns are kept.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,12 @@ def rloc_text(c: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(c), 4, "0")))
 
 
-def child_rows(files: DataFrame, text: str, parent: str) -> DataFrame:
+def child_rows(files: DataFrame, text: str, parent: str, others: Sequence[str] = ()) -> DataFrame:
     """SRC-08: children of a table headed by ID and RLOC16, one row each; without an address of its own a child has its parent's router bits and its id."""
     columns = ["id", "rloc16", "timeout", "age", "lq_in"]
     rows = table_rows(files, text, columns)
     derived = F.shiftleft(F.shiftright(hex_number(F.col(parent)), 10), 10) + F.col("id").cast("long")
-    return rows.select(parent, F.col("id").cast("int"), rloc_text(F.coalesce(hex_number(F.col("rloc16")), derived)).alias("rloc16"), F.col("timeout").cast("int"), F.col("age").cast("int"), F.col("lq_in").cast("int"))
+    return rows.select(*others, parent, F.col("id").cast("int"), rloc_text(F.coalesce(hex_number(F.col("rloc16")), derived)).alias("rloc16"), F.col("timeout").cast("int"), F.col("age").cast("int"), F.col("lq_in").cast("int"))
 
 
 def section(text: Column, name: str) -> Column:
