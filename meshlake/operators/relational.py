@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlake.sources.shared import keep
+
 # --- predicates (FLT)
 
 
@@ -130,7 +132,7 @@ def placed(df: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
 
     Rows are dealt out by ranges of the order and numbered within a range; how many rows stand before a range is one number for each.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
+    dealt = keep(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))  # the ranges stay as they are, whatever is read of them
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each range

@@ -41,7 +41,7 @@ def agg01_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from meshlake.plans import devices, diagnostics, domain, evidence, reconciliation, relational  # noqa: F401
+    from meshlake.plans import devices, diagnostics, domain, evidence, projections, reconciliation, relational  # noqa: F401
     from meshlake.streaming import queries  # noqa: F401
 
 
