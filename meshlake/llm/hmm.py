@@ -223,6 +223,9 @@ def first_model(n_class: np.ndarray, states: int, seed: int = 5) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
+#: Tokens that a pass takes side by side, over several chunks where a part has few in each; a chunk with more is taken alone.
+TOGETHER = 1_000_000
+
 # --- passes over the chunks
 
 
@@ -240,16 +243,28 @@ def one_pass(table: DataFrame, model: Model, part: int = 0, parts: int = 1) -> t
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = shared.value, np.zeros(sizes + 2)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add() -> None:
+            lengths = np.concatenate([n for _, n in held])
+            starts, moves, emissions, likelihood = Lockstep(np.concatenate([c for c, _ in held]), np.concatenate([[0], np.cumsum(lengths)])).expected(model)
+            total[:] += np.concatenate([starts, moves.reshape(-1), emissions.reshape(-1), [likelihood, lengths.sum()]])
+            held.clear()
+
         for batch in batches:
             for row in batch.to_pylist():
-                _, classes, first, learn = sequences(row)
+                first, learn = np.frombuffer(row["first"], "<i8"), np.frombuffer(row["learn"], np.uint8).astype(bool)
                 at = np.flatnonzero(learn & (np.frombuffer(row["deal"], np.uint64) % np.uint64(parts) == part))
                 if len(at):
                     n = np.diff(first)[at]
                     new = np.concatenate([[0], np.cumsum(n)])
                     rows = np.repeat(first[at] - new[:-1], n) + np.arange(new[-1])
-                    starts, moves, emissions, likelihood = Lockstep(classes[rows], new).expected(model)
-                    total += np.concatenate([starts, moves.reshape(-1), emissions.reshape(-1), [likelihood, new[-1]]])
+                    classes = np.frombuffer(row["classes"], "<u2")[unplanes(row["ids"])[rows]]
+                    if held and sum(len(c) for c, _ in held) + len(classes) > TOGETHER:
+                        add()
+                    held.append((classes, n))
+        if held:
+            add()
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
