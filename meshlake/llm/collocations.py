@@ -38,6 +38,8 @@ CHUNK = 4_000_000
 BUCKET = 4_000_000
 #: duckdb's memory for a bucket; the rest goes to its temporary files.
 MEMORY = "300MB"
+#: Rows that duckdb takes or gives at once.
+TOGETHER = 50_000
 STOPS = re.compile(rb"[.,;:!?\n-\r]")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 LONGEST = 4
@@ -172,12 +174,21 @@ def in_buckets(rows: DataFrame, keys: list[str], n: int, columns: str, types: st
         con = duckdb.connect(f"{folder}/t.db", config={"memory_limit": MEMORY, "temp_directory": f"{folder}/spill", "threads": 1, "preserve_insertion_order": False})
         try:
             con.execute(f"CREATE TABLE t ({columns})")
-            for batch in batches:
-                con.register("batch", pa.Table.from_batches([batch]))
+            held: list[pa.RecordBatch] = []
+
+            def insert() -> None:
+                con.register("batch", pa.Table.from_batches(held))
                 con.execute("INSERT INTO t SELECT * FROM batch")
                 con.unregister("batch")
-            found = con.execute(query)
-            yield from found.to_arrow_reader(100_000) if hasattr(found, "to_arrow_reader") else found.fetch_record_batch(100_000)
+                held.clear()
+
+            for batch in batches:
+                held.append(batch)
+                if sum(x.num_rows for x in held) >= TOGETHER:
+                    insert()
+            if held:
+                insert()
+            yield from con.sql(query).to_arrow_reader(TOGETHER)
         finally:
             con.close()
             shutil.rmtree(Path(folder))
@@ -194,16 +205,10 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]
     sizes = packed.groupBy("lang").agg(F.sum("words").alias("n"), F.sum(F.octet_length("data")).alias("bytes"))
     total = packed.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows_now = spark.conf.get(batch)
     buckets = max(least_parts, total // 3 // BUCKET)  # a word and a pair for every six bytes
     counts = short_runs(packed)
     query = f"SELECT chunk, hash FROM t WHERE hash IN (SELECT hash FROM t GROUP BY hash HAVING sum(times) >= {least})"
-    spark.conf.set(batch, "100000")  # rows of numbers
-    try:
-        answers = keep(in_buckets(counts, ["hash"], buckets, "hash BIGINT, chunk BIGINT, times BIGINT", "chunk long, hash long", query))
-    finally:
-        spark.conf.set(batch, rows_now)
+    answers = keep(in_buckets(counts, ["hash"], buckets, "hash BIGINT, chunk BIGINT, times BIGINT", "chunk long, hash long", query))
     asked = packed.join(answers.groupBy("chunk").agg(F.collect_list("hash").alias("frequent")), "chunk")
     query = f"SELECT lang, phrase, CAST(sum(times) AS BIGINT) AS f FROM t GROUP BY lang, phrase HAVING sum(times) >= {least}"
     told = phrases(asked).repartition(buckets, "lang", "phrase")
