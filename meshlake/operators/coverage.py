@@ -1,6 +1,6 @@
-"""EVD-09: what devices were asked for and what they gave, as bitmaps of identifiers; PRJ-05: the columns that semi-structured rows have.
+"""EVD-09: what devices were asked for and what they gave, as distinct rows; PRJ-05: the columns that semi-structured rows have.
 
-Identifiers of any size: a bitmap covers a bucket of 32,768 of them, so sets of an owner are a few fixed-size rows, whatever the number of reports.
+A set is its distinct (owner, value) rows: the sets are small and many, and a bitmap takes 4 kB however few values it holds.
 """
 
 from __future__ import annotations
@@ -12,45 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bitmaps(reports: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, bucket, bits: the distinct values (from 1) of a key; null values count for nothing."""
-    known = reports.where(F.col(value).isNotNull())
-    return known.groupBy(*keys, F.bitmap_bucket_number(value).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bits"))
-
-
-def largest(sets: DataFrame, owner: str, attempt: str) -> DataFrame:
-    """owner, attempt, n: the attempt of each owner with the most values, the first of equals; sets comes from ``bitmaps`` by owner and attempt."""
-    sizes = sets.groupBy(owner, attempt).agg(F.sum(F.bitmap_count("bits")).alias("n"))
-    best = sizes.groupBy(owner).agg(F.max(F.struct("n", (-F.col(attempt)).alias("first"))).alias("x"))
-    return best.select(owner, (-F.col("x.first")).alias(attempt), F.col("x.n").alias("n"))
-
-
-def united(sets: DataFrame, owner: str) -> DataFrame:
-    """owner, bucket, bits: all values of an owner's sets."""
-    return sets.groupBy(owner, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-
-
-def sizes(sets: DataFrame, owner: str) -> DataFrame:
-    return sets.groupBy(owner).agg(F.sum(F.bitmap_count("bits")).alias("n"))
-
-
-def common(a: DataFrame, b: DataFrame, owner: str) -> DataFrame:
-    """owner, bucket, bits: the values that both have."""
-    both = a.select(owner, "bucket", "bits").union(b.select(owner, "bucket", "bits")).groupBy(owner, "bucket")
-    return both.agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("sides")).where("sides = 2").drop("sides")
-
-
 def coverage(asked: DataFrame, given: DataFrame, owner: str, attempt: str, value: str) -> DataFrame:
-    """EVD-09: owner, attempt, requested, received, covered: the largest request of each owner, how many values it got in all, and how many of the requested ones.
+    """EVD-09: owner, attempt, requested, received, covered: the largest request of each owner (the first of equals), how many values it got in all, and how many of the requested ones.
 
-    asked has owner, attempt, value; given has owner and value of valid reports. received is null for an owner without a valid report.
+    asked has owner, attempt, value; given has owner and value of valid reports. Null values count for nothing. received is null for an owner without a valid report.
     """
-    requests = bitmaps(asked, [owner, attempt], value)
-    best = largest(requests, owner, attempt)
-    got = united(bitmaps(given, [owner], value), owner)
-    wanted = requests.join(best.select(owner, attempt), [owner, attempt], "left_semi").select(owner, "bucket", "bits")
-    covered = sizes(common(wanted, got, owner), owner).withColumnRenamed("n", "covered")
-    out = best.withColumnRenamed("n", "requested").join(sizes(got, owner).withColumnRenamed("n", "received"), owner, "left").join(covered, owner, "left")
+    known = F.col(value).isNotNull()
+    requests = asked.where(known).select(owner, attempt, value).distinct()
+    sizes = requests.groupBy(owner, attempt).agg(F.count("*").alias("n"))
+    best = sizes.groupBy(owner).agg(F.max(F.struct("n", (-F.col(attempt)).alias("first"))).alias("x")).select(owner, (-F.col("x.first")).alias(attempt), F.col("x.n").alias("requested"))
+    got = given.where(known).select(owner, value).distinct()
+    received = got.groupBy(owner).agg(F.count("*").alias("received"))
+    wanted = requests.join(best.select(owner, attempt), [owner, attempt], "left_semi")
+    covered = wanted.join(got, [owner, value], "left_semi").groupBy(owner).agg(F.count("*").alias("covered"))
+    out = best.join(received, owner, "left").join(covered, owner, "left")
     return out.select(owner, attempt, "requested", "received", F.coalesce("covered", F.lit(0).cast("long")).alias("covered"))
 
 

@@ -149,3 +149,11 @@ def test_the_most_specific_revision_holds(spark):
     got = {r.id: r.revision for r in found.collect()}
     assert {**got, 9: got[9] in ("a1", "x")} == {1: None, 2: "any", 3: "a1", 4: "a2", 5: "x", 6: "any", 7: "any", 8: None, 9: True}
     assert got[9] == "x"  # both give one key: the later beginning holds
+
+
+def test_coverage_takes_small_sets_as_rows(spark):
+    asked = [(1, 1, -5), (1, 1, 2**62), (1, 2, 2**62), (1, 2, 0), (1, 2, 7)]
+    df = spark.createDataFrame(asked, "o long, a long, v long")
+    found = coverage.coverage(df, df.where("v > 7"), "o", "a", "v")
+    assert "bitmap" not in found._jdf.queryExecution().executedPlan().toString()  # 4 kB for each set of each request
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 3, 1, 1)]
