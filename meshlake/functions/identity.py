@@ -5,6 +5,7 @@ Everything is built from Catalyst functions, so it stays in generated code and c
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ def column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it: it is the only entry of an array."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def identifier(c: Column | str) -> Column:
     """STR-F01: trimmed and lower-cased; empty becomes null."""
     return F.nullif(F.lower(F.trim(column(c))), F.lit(""))

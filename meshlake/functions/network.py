@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meshlake.functions.identity import identifier
+from meshlake.functions.identity import bound, identifier
 
 
 def ipv6_hex(c: Column | str) -> Column:
-    """The 32 hex digits of an IPv6 address, a :: filled up; null if malformed."""
-    clean = identifier(c)
-    halves = F.split(clean, "::")
+    """The 32 hex digits of an IPv6 address, a :: filled up; null if malformed.
+
+    Each step is bound for the next: written out in place of its name, it would be worked out anew for every use of every use.
+    """
 
     def groups(text: Column) -> Column:
         return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
 
-    left, right = groups(halves[0]), F.when(F.size(halves) == 2, groups(F.try_element_at(halves, F.lit(2))))
-    gap = F.when(right.isNotNull(), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))).otherwise(0)
-    whole = F.concat(left, F.array_repeat(F.lit("0"), gap), F.coalesce(right, F.array().cast("array<string>")))
-    text = F.array_join(F.transform(whole, lambda x: F.lpad(x, 4, "0")), "")
-    good = clean.rlike("^[0-9a-f:]+$") & (F.size(halves) <= 2) & (F.size(whole) == 8) & F.forall(whole, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(good, text)
+    def filled(sides: Column) -> Column:
+        left, right = sides["left"], sides["right"]
+        gap = F.when(right.isNotNull(), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))).otherwise(0)
+        return F.concat(left, F.array_repeat(F.lit("0"), gap), F.coalesce(right, F.array().cast("array<string>")))
+
+    def text(whole: Column) -> Column:
+        good = (F.size(whole) == 8) & F.forall(whole, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(good, F.array_join(F.transform(whole, lambda x: F.lpad(x, 4, "0")), ""))
+
+    def whole(halves: Column) -> Column:
+        right = F.when(F.size(halves) == 2, groups(F.try_element_at(halves, F.lit(2))))
+        sides = F.struct(groups(halves[0]).alias("left"), right.alias("right"))
+        return F.when(F.size(halves) <= 2, bound(sides, lambda x: bound(filled(x), text)))
+
+    return bound(identifier(c), lambda clean: F.when(clean.rlike("^[0-9a-f:]+$"), bound(F.split(clean, "::"), whole)))
 
 
 def ipv4_hex(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshlake.functions import network as N
 from meshlake.functions import values as V
+from meshlake.functions.identity import bound
 from meshlake.operators import graph as G
 from meshlake.operators import relational as R
 from meshlake.operators import rules as U
@@ -150,7 +151,8 @@ def jon15_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower(F.lpad(F.hex(number), 16, "0"))
     short = F.concat(F.lit("::"), F.concat_ws(":", *[F.substring(low, 4 * i + 1, 4) for i in range(4)]))
     prefix = N.ipv6_hex(F.when(F.col("c_custkey") % 2 == 0, F.lit("0:0:0:0::")).otherwise(F.lit("FD00:1:2:3::")))
-    return table(spark, sf_dir, "customer").select("c_custkey", N.ipv6_hex(short).alias("address"), N.in_prefix(N.ipv6_hex(short), prefix, 64).alias("inside"))
+    inside = bound(N.ipv6_hex(short), lambda address: F.struct(address.alias("address"), N.in_prefix(address, prefix, 64).alias("inside")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.inline(F.array(inside)))
 
 
 # --- merges and summaries

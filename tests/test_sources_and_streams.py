@@ -180,3 +180,13 @@ def test_components_equal_brute_force_on_a_fixture(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (9, 8), (8, 5)], "low int, high int")
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 8, 9)], "node int")
     assert {x.node: x.component for x in graph.components(nodes, pairs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 8: 5, 9: 5}
+
+
+def test_addresses_are_taken_apart_once(spark):
+    from meshlake.functions import network
+
+    rows = ["::1", "1::", "::", "FD00:1:2:3::", "1:2:3:4:5:6:7:8", "1::2::3", "1:2:3", "12345::", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8::", " ", None, "g::", "1:2:3:4::5:6:7:8"]
+    df = spark.createDataFrame([(x,) for x in rows], "a string").select(network.ipv6_hex("a"))
+    want = ["0" * 31 + "1", "0001" + "0" * 28, "0" * 32, "fd00000100020003" + "0" * 16, "00010002000300040005000600070008", None, None, None, None, "00010002000300040005000600070008", None, None, None, "00010002000300040005000600070008"]
+    assert [r[0] for r in df.collect()] == want
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") < 10
