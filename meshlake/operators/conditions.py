@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from meshlake.functions.identity import bound
+
 COMPARE: dict[str, Callable[[Column, float, float], Column]] = {
     ">=": lambda x, low, high: x >= low,
     ">": lambda x, low, high: x > low,
@@ -127,20 +129,23 @@ def evaluations(conditions: Sequence[Condition], row: Mapping[str, Column], arra
 
     def evaluation(c: Condition, at: Column) -> Column:
         given, (low, high) = at[names[c.over, c.metric]], c.bounds()
-        if c.over:
-            matching = F.filter(given, lambda x: COMPARE[c.comparison](x, low, high))
+
+        def found(metric: Column, met: Column) -> Column:
+            met = met & at[f"g_{c.guard}"] if c.guard else met
+            return F.struct(F.lit(c.name).alias("name"), F.lit(c.group).alias("group"), F.lit(c.severity).alias("severity"), F.lit(RANKS.index(c.severity)).alias("rank"), metric.alias("metric"), met.alias("met"))
+
+        def of_entries(matching: Column) -> Column:
             metric = (F.array_min if c.comparison in ("<", "<=", "[)", "[]") else F.array_max)(matching)
-            met = F.size(matching) >= c.how if isinstance(c.how, int) else (F.size(matching) > 0) & (F.lit(c.how == "any") | (F.size(matching) == F.size(given)))
-        else:
-            metric, met = given, F.coalesce(COMPARE[c.comparison](given, low, high), F.lit(False))
-        if c.guard:
-            met = met & at[f"g_{c.guard}"]
-        found = F.struct(F.lit(c.name).alias("name"), F.lit(c.group).alias("group"), F.lit(c.severity).alias("severity"), F.lit(RANKS.index(c.severity)).alias("rank"), metric.alias("metric"), met.alias("met"))
-        return F.when(metric.isNotNull(), found)
+            met = F.size(matching) >= c.how if isinstance(c.how, int) else F.lit(c.how == "any") | (F.size(matching) == F.size(given))
+            return F.when(F.size(matching) > 0, found(metric, met))
+
+        if c.over:
+            return bound(F.filter(given, lambda x: COMPARE[c.comparison](x, low, high)), of_entries)
+        return F.when(given.isNotNull(), found(given, F.coalesce(COMPARE[c.comparison](given, low, high), F.lit(False))))
 
-    # the metrics are bound as the only entry of an array, so every condition reads the same values
-    bound = F.transform(F.array(shared), lambda at: F.array(*(evaluation(c, at) for c in conditions)))
-    return F.filter(F.element_at(bound, 1), lambda x: x.isNotNull())
+    # every condition reads the same values
+    every = bound(shared, lambda at: F.array(*(evaluation(c, at) for c in conditions)))
+    return F.filter(every, lambda x: x.isNotNull())
 
 
 def worst_of_groups(found: Column) -> Column:
@@ -149,4 +154,4 @@ def worst_of_groups(found: Column) -> Column:
     def worst(at: Column) -> Column:
         return F.filter(at, lambda e: ~F.exists(at, lambda o: (o["group"] == e["group"]) & (o["rank"] > e["rank"])))
 
-    return F.element_at(F.transform(F.array(F.filter(found, lambda e: e["met"])), worst), 1)
+    return bound(F.filter(found, lambda e: e["met"]), worst)

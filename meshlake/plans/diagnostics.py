@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshlake.functions.identity import bound
 from meshlake.operators import conditions as C
 from meshlake.plans.catalog import register
 from meshlake.sources.tables import table
@@ -39,13 +42,13 @@ def _measured() -> str:
       GROUP BY t.l_orderkey, i, name, group_, over_, rank, guard, ok)"""
 
 
-def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """l_orderkey and all evaluations of its conditions."""
+def evaluated(spark: SparkSession, sf_dir: str, of: Callable[[Column], Column] = lambda found: found) -> DataFrame:
+    """l_orderkey and all evaluations of its conditions, or what ``of`` makes of them."""
     entries = {over: F.collect_list(F.expr(f"CASE WHEN {where} THEN struct({', '.join(f'{x} AS {m}' for m, x in metrics.items())}) END")).alias(over) for over, (where, metrics) in ENTRY.items()}
     devices = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*(F.expr(x).alias(m) for m, x in ROW.items()), F.expr(GUARD).alias("ftd_router"), *entries.values())
     arrays = {over: (F.col(over), {m: (lambda e, m=m: e[m]) for m in metrics}) for over, (_, metrics) in ENTRY.items()}
     found = C.evaluations(C.DEVICE_CONDITIONS, {m: F.col(m) for m in ROW}, arrays, {"ftd_router": F.col("ftd_router")})
-    return devices.select("l_orderkey", found.alias("found"))
+    return devices.select("l_orderkey", bound(found, of).alias("found"))
 
 
 @register(
@@ -55,10 +58,14 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def flt05_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-05: all 42 conditions of a device in one pass; the met ones that are the most severe of their group."""
-    found = evaluated(spark, sf_dir)
-    met = F.size(F.filter("found", lambda e: e["met"]))
-    worst = F.array_join(F.transform(C.worst_of_groups(F.col("found")), lambda e: e["name"]), ";")
-    return found.select("l_orderkey", met.cast("long").alias("met"), worst.alias("worst")).where("met > 0")
+
+    def summary(found: Column) -> Column:
+        worst = F.array_join(F.transform(C.worst_of_groups(found), lambda e: e["name"]), ";")
+        return F.struct(F.size(F.filter(found, lambda e: e["met"])).cast("long").alias("met"), worst.alias("worst"))
+
+    # a generator's output, so that the filter on it doesn't have the evaluations done a second time
+    each = evaluated(spark, sf_dir, summary)
+    return each.select("l_orderkey", F.inline(F.array("found"))).where("met > 0")
 
 
 @register(

@@ -60,3 +60,19 @@ def test_every_condition_is_met_and_missed(spark):
     assert all(r.devices_met > 0 and (r.devices_missed > 0 or over[r.name]) for r in rows)
     orders = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey").distinct().count()
     assert all(r.devices_met < orders for r in rows)
+
+
+def test_conditions_are_evaluated_once_a_row(spark):
+    from meshlake.plans import catalog
+
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    plan = catalog.QUERIES["flt05_conditions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert [plan.count(c.name + ",") for c in C.DEVICE_CONDITIONS] == [1] * 42
+
+
+def test_any_entry_by_each_comparison(spark):
+    table = [(">=", 2, 2.0), (">", 1, 2.0), ("<=", 1, 1.0), ("<", 2, 1.0), ("==", 1, 1.0), ("!=", 1, 2.0), ("[)", (1, 2), 1.0), ("[]", (1, 2), 1.0)]
+    got = run(spark, *(Condition(how, "", "a", "v", how, t, "low") for how, t, _ in table))
+    assert got[1] == {how: (x, True) for how, _, x in table}
+    assert set(got[2]) == {">=", ">", "!="} and got[3] == got[4] == {}
