@@ -75,3 +75,20 @@ def test_no_links(spark):
     found = blocks.analysed(nodes, pairs)
     assert blocks.bridges(found).collect() == [] and blocks.cut_parts(found).collect() == []
     assert {(r.node, r.size) for r in found.collect()} == {(1, 1), (2, 1)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_degrees_shuffle_pairs_once(spark):
+    pairs = graph.undirected(spark.createDataFrame([(1, 2), (2, 1), (3, 1), (3, 3), (2, 3), (4, 1)], "a long, b long"), "a", "b")
+    assert {tuple(r) for r in graph.degrees(pairs).collect()} == {(1, 3), (2, 2), (3, 2), (4, 1)}
+    assert plan(graph.degrees(pairs)).count("Exchange") == 2  # by pair, by node
+
+
+def test_both_ways_reads_pairs_once(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "low long, high long")
+    both = graph.both_ways(pairs)
+    assert both.columns == ["node", "other"] and sorted(tuple(r) for r in both.collect()) == [(1, 2), (1, 3), (2, 1), (3, 1)]
+    assert "Union" not in plan(both)
