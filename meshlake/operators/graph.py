@@ -30,11 +30,12 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Labels sink to the smallest around a node, then each takes the label of its label, so rounds grow with
     the logarithm of the longest path on most graphs. Each round is written, so nothing is computed twice and nothing stays cached.
+    Joins are merges: small files of packed labels would be broadcast in every round, by way of the driver.
     """
     around = keep(both_ways(pairs))
     labels = keep(nodes.select("node", F.col("node").alias("component")).distinct())
     while True:
-        told = around.join(labels.withColumnRenamed("node", "other"), "other").select("node", "component", F.lit(None).cast(labels.schema["component"].dataType).alias("before"))
+        told = around.join(labels.withColumnRenamed("node", "other").hint("merge"), "other").select("node", "component", F.lit(None).cast(labels.schema["component"].dataType).alias("before"))
         own = labels.select("node", "component", F.col("component").alias("before"))
         sunk = keep(told.union(own).groupBy("node").agg(F.min("component").alias("component"), F.max("before").alias("before")))
         forget(labels)
@@ -42,7 +43,7 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             forget(around)
             return sunk.select("node", "component")
         jump = sunk.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        labels = keep(sunk.join(jump, "component", "left").select("node", F.least("component", "further").alias("component")))
+        labels = keep(sunk.join(jump.hint("merge"), "component", "left").select("node", F.least("component", "further").alias("component")))
         forget(sunk)
 
 
@@ -83,7 +84,7 @@ def resolve_entities(records: DataFrame, record: str, keys: list[str]) -> DataFr
         part = records.select(record, F.lit(i).alias("kind"), F.nullif(F.col(k).cast("string"), F.lit("")).alias("value")).where("value IS NOT NULL")
         held = part if held is None else held.union(part)
     least = held.groupBy("kind", "value").agg(F.min(record).alias("first"))
-    pairs = undirected(held.join(least, ["kind", "value"]), record, "first")
+    pairs = undirected(held.join(least.hint("merge"), ["kind", "value"]), record, "first")
     return components(records.select(F.col(record).alias("node")), pairs).select(F.col("node").alias(record), F.col("component").alias("entity"))
 
 

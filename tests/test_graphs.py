@@ -92,3 +92,11 @@ def test_both_ways_reads_pairs_once(spark):
     both = graph.both_ways(pairs)
     assert both.columns == ["node", "other"] and sorted(tuple(r) for r in both.collect()) == [(1, 2), (1, 3), (2, 1), (3, 1)]
     assert "Union" not in plan(both)
+
+
+def test_entities_send_no_tables_through_the_driver(spark, monkeypatch):
+    plans, keep = [], graph.keep
+    monkeypatch.setattr(graph, "keep", lambda df: (plans.append(plan(df)), keep(df))[1])
+    records = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (3, "c", "x"), (4, "a", ""), (5, "c", "y"), (6, None, None)], "id long, k1 string, k2 string")
+    assert {tuple(r) for r in graph.resolve_entities(records, "id", ["k1", "k2"]).collect()} == {(1, 1), (2, 2), (3, 2), (4, 1), (5, 2), (6, 6)}
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
