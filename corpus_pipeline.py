@@ -19,6 +19,8 @@ from meshlake.llm.scratch import keep, small_batches
 
 #: A text goes if the language that contains most of its n-grams contains less than this share.
 LEAST_MATCH = 0.2
+#: A hash of a text before passages are cut out of it.
+SEEN = "_text_before"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,14 +53,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has (n_chars, if there, counted anew for these); those of which nothing is left go.
 
+    Runs of 50 words go first, wherever in a sentence they begin, then runs of three sentences.
+
     "Earlier" is by doc_id, then by a hash of the text. Rows with null doc_id or text stay as they are.
     """
     counted = "n_chars" in docs.columns
     rows = known(docs, "doc_id", "text", *["n_chars"] * counted)
-    cleaned = spans.remove_repeats(rows).where("n_removed = 0 OR n_removed < n_sentences")
+    before = F.xxhash64("text")
+    marked = spans.remove_passages(rows.withColumn(SEEN, before))
+    cleaned = spans.remove_repeats(keep(marked)).where("n_removed = 0 OR n_removed < n_sentences")
     if counted:
         length = F.char_length("text").cast(rows.schema["n_chars"].dataType)
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
+        cleaned = cleaned.withColumn("n_chars", F.when(before != F.col(SEEN), length).otherwise(F.col("n_chars")))
     return cleaned.select(rows.columns).toDF(*docs.columns)
 
 

@@ -277,3 +277,38 @@ def test_tree_visits_little_of_clustered_data():
     recall = (leaf[top][:, :, None] == seen[:, None, :]).any(2).mean()
     share = np.isin(leaf, seen[0]).mean()
     assert recall >= 0.9 and np.mean([np.isin(leaf, row).mean() for row in seen]) < 0.2, (recall, share)
+
+
+def test_passages_go_word_by_word(spark):
+    words = [f"P{i}" for i in range(70)]
+    passage, other = " ".join(words), prose(7, "en", 40)
+    rows = [(1, "Begin " + passage + " end."), (2, "Here stands\n" + passage.lower() + "  and so on. " + other), (3, "x " + " ".join(words[5:54]) + " y"), (4, passage), (5, other + " " + passage + " " + passage), (6, "a b c " * 60), (7, None), (8, ""), (9, " ".join(words[10:60]) + " tail")]
+    table = [*rows, rows[1], (None, passage), (2, "again " + passage)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in table], "doc_id long, text string, cuts int").repartition(3)
+    found = spans.remove_passages(docs, 50)
+    assert found.columns == docs.columns
+    want = dict(rows) | {2: "Here stands\nand so on. " + other, 5: other + " ", 9: "tail"}
+    del want[4]
+    assert by_id((r.doc_id, r.text) for r in found.collect()) == by_id([*want.items(), (2, want[2]), (2, "again "), (None, passage)])
+    assert spans.remove_passages(docs.limit(0)).count() == 0
+
+
+def test_passages_equal_brute_force(spark):
+    r = random.Random(3)
+    word = lambda: r.choice("abcdefgh")
+    shared = [word() for _ in range(400)]
+    rows = []
+    for i in range(60):
+        a = r.randrange(350)
+        rows.append((i, " ".join([word() for _ in range(r.randrange(30))] + shared[a : a + r.randrange(60)] + [word() for _ in range(r.randrange(30))])))
+    seen, want = {}, {}
+    for i, t in rows:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 11):
+            if seen.setdefault(tuple(w[k : k + 12]), i) != i:
+                gone |= set(range(k, k + 12))
+        if not gone or len(gone) < len(w):
+            want[i] = [x for k, x in enumerate(w) if k not in gone]
+    found = spans.remove_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 12)
+    assert {x.doc_id: x.text.split() for x in found.collect()} == want
+    assert sum(len(x) for x in want.values()) < sum(len(t.split()) for _, t in rows) * 0.8

@@ -47,3 +47,12 @@ def test_queries_are_registered():
     for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in registry.QUERIES) == 1
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "minhash_near_dedup", "substring_dedup", "best_fit_packing"]
+
+
+def test_passages_that_begin_within_a_sentence_go(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, prose(1, "en", 50) + " then " + passage + " here. " + prose(2, "en", 20)), (2, prose(3, "en", 50) + " but " + passage + " there. " + prose(4, "en", 20)), (3, passage)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    left = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.substring_dedup(spark, docs, "").collect()}
+    want = rows[1][1].replace(passage + " ", "")
+    assert left == {1: (rows[0][1], len(rows[0][1])), 2: (want, len(want))}
