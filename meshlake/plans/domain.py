@@ -415,7 +415,7 @@ def grf05_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def grf02_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF-02: connected components of the links."""
-    pairs = G.undirected(trade(spark, sf_dir), "a", "b")
+    pairs = keep(G.undirected(trade(spark, sf_dir), "a", "b"))  # read for the nodes and for the links
     return G.components(G.both_ways(pairs).select("node").distinct(), pairs)
 
 
