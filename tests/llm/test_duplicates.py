@@ -1,8 +1,12 @@
+import contextlib
 import math
+import os
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 from meshlake.llm import components, hnsw, kmeans_tree, minhash, spans
 from tests.llm.conftest import prose
@@ -279,6 +283,65 @@ def test_tree_visits_little_of_clustered_data():
     assert recall >= 0.9 and np.mean([np.isin(leaf, row).mean() for row in seen]) < 0.2, (recall, share)
 
 
+def python_memory(what, restart=False):
+    """The largest figure (MB) of that name in /proc among the Python processes that this session's JVM has started."""
+    parents = {}
+    for stat in Path("/proc").glob("[0-9]*/stat"):
+        with contextlib.suppress(OSError):
+            parents[int(stat.parent.name)] = int(stat.read_text().rpartition(")")[2].split()[1])
+    most = 0
+    for pid in parents:
+        above = pid
+        while above in parents and above != os.getpid():
+            above = parents[above]
+        with contextlib.suppress(OSError):
+            if above == os.getpid() != pid and "pyspark" in Path(f"/proc/{pid}/cmdline").read_text() and "java" not in os.readlink(f"/proc/{pid}/exe"):
+                most = max([most, *(int(line.split()[1]) / 1000 for line in Path(f"/proc/{pid}/status").read_text().splitlines() if line.startswith(what))])
+                if restart:
+                    Path(f"/proc/{pid}/clear_refs").write_text("5")
+    return most
+
+
+def test_tree_search_needs_little_memory(spark):
+    """A query's vector isn't copied for each of the leaves that it visits."""
+    x = np.random.default_rng(6).standard_normal((3000, 256)).astype(np.float32)
+    data = spark.createDataFrame(pa.table({"vec_id": np.arange(3000), "embedding": pa.array(list(x))}))
+    data.mapInArrow(lambda batches: batches, data.schema).count()  # starts workers
+    before = python_memory("VmRSS", restart=True)
+    found = kmeans_tree.nearest(data, data.where("vec_id % 2 = 0"), k=5, leaf_rows=8).collect()
+    used = python_memory("VmHWM") - before
+    assert before > 0 and len(found) == 1500 * 5 and used < 150, used
+
+
+def test_tree_takes_many_copies(spark):
+    """Rows whose places the smaller vec_ids of equal vectors take, in leaves cut into several shards; few and huge components."""
+    r = np.random.default_rng(7)
+    x = np.concatenate([np.repeat(r.standard_normal((2, 6)), 300, 0), r.standard_normal((200, 6)), 1e200 * r.standard_normal((3, 6)), 1e-200 * r.standard_normal((3, 6))])[r.permutation(806)]
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found = kmeans_tree.nearest(data, data.where("vec_id % 7 = 0"), k=9, leaf_rows=50, recall=1.1, block=100).collect()
+    got = {}
+    for row in found:
+        got.setdefault(row.query_id, []).append((row["rank"], row.vec_id))
+    for q in range(0, 806, 7):
+        with np.errstate(over="ignore"):
+            score = (x * x[q]).sum(1)
+        score[~np.isfinite(score)] = -np.inf
+        score[q] = -np.inf
+        assert [i for _, i in sorted(got[q])] == np.lexsort((np.arange(806), -score))[:9].tolist(), q
+
+
+def test_tree_walk_by_gates():
+    """The leaves found for many queries at once are those of the walks one by one, nodes with equal values too."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((900, 10))
+    for rows in (x, np.round(x), np.repeat(x[:5], 40, 0), x[:1]):
+        tree = kmeans_tree.fit(rows, 4, 1.0, 20)
+        asked = np.concatenate([rows[:60], np.zeros((1, 10)), np.eye(10)])
+        for most in (1, 2, 7, tree.leaves // 2 + 1, tree.leaves, tree.leaves + 3):
+            want = [set(row[row >= 0].tolist()) for row in tree.visits(asked, most)]
+            assert [set(np.flatnonzero(row).tolist()) for row in tree.first(asked, most)] == want
+
+
 def test_passages_go_word_by_word(spark):
     words = [f"P{i}" for i in range(70)]
     passage, other = " ".join(words), prose(7, "en", 40)
